@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests, encode
+
+    return digests(encode(_table(spark, sf_dir, "documents")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -26,6 +33,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+    from ._store import shared_dir
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.checksums(token_files.read(spark, path))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -44,7 +60,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_byte_bpe": op4_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
 
