@@ -18,6 +18,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = score(docs, fit(docs, labels.where(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode
 
@@ -64,13 +74,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import corpus_counts, findings, train
+
+    docs = _table(spark, sf_dir, "documents")
+    corpus = corpus_counts(docs)
+    found = findings(docs, corpus, train(corpus))
+    spans = F.transform("findings", lambda f: F.concat_ws("-", f["first"], f["past"]))
+    return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"), F.array_join(spans, ",").alias("spans"), F.array_max("findings.score").alias("top_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
