@@ -160,7 +160,7 @@ def _emit(df: DataFrame, cut, buckets: int, strict: bool) -> DataFrame:
         for b in batches:
             ids, (data, offs) = b.column(0).to_numpy(), flat(b.column(1))
             near = [np.asarray(x, dtype=np.int64) for x in b.column(2).to_pylist()] if b.num_columns > 2 else None
-            for group in runs(offs, 1 << 25):
+            for group in runs(offs, 1 << 23):
                 got: list[tuple[np.ndarray, ...]] = []
                 for i, j in runs(offs[group[0] : group[1] + 1]):
                     i, j = i + group[0], j + group[0]
