@@ -113,7 +113,7 @@ class Spelling:
 class PieceTable:
     """Ids of pieces by the hash of their bytes; emptied when it holds ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 20) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 19) -> None:
         self.encode, self.most = encode, most
         self._reset(1 << 14)
 

@@ -28,12 +28,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import report, scan
+
+    return report(scan(_table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode
 
     return digests(encode(_table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -89,7 +101,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_html_text": op5_html_text,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
