@@ -160,6 +160,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "spans")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, all columns, of which no word is in a window of the benchmark."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > broadcast_bytes:
+        found = contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window, k, broadcast_bytes)
+        return docs.join(found.where("n_hit > 0").select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    known = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.toLocalIterator()])
+    column = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(known.value, window, k)
+        for b in batches:
+            data, offs = flat(b.column(column))
+            for i, j in runs(offs):
+                w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                clean = np.ones(j - i, dtype=bool)
+                for at, _, _ in bench.places(w):
+                    clean[int(np.searchsorted(w.first, at, "right")) - 1] = False
+                yield b.slice(i, j - i).filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _by_broadcast(src: DataFrame, items: DataFrame, kind: str, window: int, k: int) -> DataFrame:
     known = src.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.toLocalIterator()])
 

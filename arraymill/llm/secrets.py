@@ -257,44 +257,63 @@ def candidates(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[on], e[on], of[on]
 
 
-def findings(docs: DataFrame, corpus: Corpus, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = 0.5, redact: str | None = None) -> DataFrame:
-    """One row per row of docs: id_col, n_candidates, findings (first and past byte, score); with redact also text, secrets replaced.
-
-    Null and empty texts have none (null stays null). Repeated rows are judged
-    alike; null ids stay. path_col may be missing or null.
+def _found(raw: np.ndarray, at: np.ndarray, paths: list[str], corpus: Corpus, forest: Forest, cut: float) -> tuple[np.ndarray, list[list[dict]]]:
+    """Per text the count of candidates and the findings."""
+    s, e, of = candidates(raw, at)
+    found: list[list[dict]] = [[] for _ in range(len(at) - 1)]
+    if len(s):
+        rows = [features(raw[a:z].tobytes(), raw[max(at[t], a - _AROUND) : a].tobytes(), raw[z : min(at[t + 1], z + _AROUND)].tobytes(), paths[t], corpus) for a, z, t in zip(s, e, of, strict=True)]
+        score = forest.predict(np.array(rows))
+        for k in np.flatnonzero(score >= cut):
+            found[of[k]].append({"first": int(s[k] - at[of[k]]), "past": int(e[k] - at[of[k]]), "score": float(score[k])})
+    return np.bincount(of, minlength=len(at) - 1), found
+
+
+def findings(docs: DataFrame, corpus: Corpus, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = 0.5) -> DataFrame:
+    """One row per row of docs: id_col, n_candidates, findings (first and past byte, score).
+
+    Null and empty texts have none. Repeated rows are judged alike; null ids
+    stay. path_col may be missing or null.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     shared = docs.sparkSession.sparkContext.broadcast((corpus, forest))  # of a fixed size
     place = pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64())])
-    extra = ", text string" if redact is not None else ""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trees = shared.value
         for b in batches:
             data, offs = flat(b.column(1))
             paths = b.column(2).to_pylist()
             for i, j in runs(offs):
-                raw, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                s, e, of = candidates(raw, at)
-                found: list[list[dict]] = [[] for _ in range(j - i)]
-                if len(s):
-                    rows = [features(raw[a:z].tobytes(), raw[max(at[t], a - _AROUND) : a].tobytes(), raw[z : min(at[t + 1], z + _AROUND)].tobytes(), paths[i + t], known) for a, z, t in zip(s, e, of, strict=True)]
-                    score = trees.predict(np.array(rows))
-                    for k in np.flatnonzero(score >= cut):
-                        found[of[k]].append({"first": int(s[k] - at[of[k]]), "past": int(e[k] - at[of[k]]), "score": float(score[k])})
-                cols = [b.column(0).slice(i, j - i), pa.array(np.bincount(of, minlength=j - i)), pa.array(found, pa.list_(place))]
-                if redact is not None:
-                    new = b.column(1).slice(i, j - i).to_pylist()
+                n, found = _found(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], paths[i:j], *shared.value, cut)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(found, pa.list_(place))], ["id", "n_candidates", "findings"])
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(scan, f"id {kind}, n_candidates long, findings array<struct<first:int,past:int,score:double>>")
+    return out.withColumnRenamed("id", id_col)
+
+
+def redacted(docs: DataFrame, corpus: Corpus, forest: Forest, text_col: str = "text", path_col: str | None = "source", cut: float = 0.5, put: str = "[secret]") -> DataFrame:
+    """The rows of docs, all columns, with put in the place of each finding; null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast((corpus, forest))
+    at, where = docs.columns.index(text_col), docs.columns.index(path_col) if path_col in docs.columns else None
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = flat(b.column(at))
+            paths = [str(x or "") for x in b.column(where).to_pylist()] if where is not None else [""] * b.num_rows
+            for i, j in runs(offs):
+                _, found = _found(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], paths[i:j], *shared.value, cut)
+                part = b.slice(i, j - i)
+                if any(found):
+                    new = part.column(at).to_pylist()
                     for t, fs in enumerate(found):
                         if fs:
-                            old, parts, upto = raw[at[t] : at[t + 1]].tobytes(), [], 0
+                            old, parts, upto = data[offs[i + t] : offs[i + t + 1]].tobytes(), [], 0
                             for f in fs:
-                                parts += [old[upto : f["first"]], redact.encode()]
+                                parts += [old[upto : f["first"]], put.encode()]
                                 upto = f["past"]
                             new[t] = b"".join([*parts, old[upto:]]).decode()
-                    cols.append(pa.array(new, pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_candidates", "findings", "text"][: len(cols)])
+                    part = part.set_column(at, part.schema.field(at), pa.array(new, part.column(at).type))
+                yield part
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(scan, f"id {kind}, n_candidates long, findings array<struct<first:int,past:int,score:double>>{extra}")
-    return out.withColumnRenamed("id", id_col)
+    return docs.mapInArrow(replace, docs.schema)

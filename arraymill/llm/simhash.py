@@ -234,3 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reached = components(links(distinct, radius, parts))
     classes = distinct.join(reached, distinct["id"] == reached["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once. Rows with a null id stay."""
+    found = stage(near_duplicates(docs, id_col, text_col, radius).select(id_col, "component_id"))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    out = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        known = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        out = known.unionByName(out.where(F.col(id_col).isNull()))
+    return out

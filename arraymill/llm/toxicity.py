@@ -177,6 +177,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "score", "offending")
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below cut."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = flat(b.column(at))
+            for i, j in runs(offs):
+                total = shared.value.judge(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0]
+                yield b.slice(i, j - i).filter(pa.array(total < cut))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
