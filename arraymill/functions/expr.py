@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from arraymill.types import truth
 
@@ -51,22 +52,22 @@ def quotient(x: Column, y: Column) -> Column:
     return F.when(q < 0, _whole(F.ceil)(q)).otherwise(_whole(F.floor)(q))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _next_up(x: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.to_numpy(float), np.inf))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _next_down(x: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.to_numpy(float), -np.inf))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ulp(x: pd.Series) -> pd.Series:
     return pd.Series(np.spacing(np.abs(x.to_numpy(float))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _significand(x: pd.Series) -> pd.Series:
     v = x.to_numpy(float)
     if not np.isfinite(v[~x.isna().to_numpy()]).all():
@@ -75,7 +76,7 @@ def _significand(x: pd.Series) -> pd.Series:
     return pd.Series(m * 2.0**53)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ieee_remainder(x: pd.Series, y: pd.Series) -> pd.Series:
     a, b = x.to_numpy(float), y.to_numpy(float)
     with np.errstate(all="ignore"):

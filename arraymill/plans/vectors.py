@@ -176,9 +176,9 @@ for _p, _frame in {"right": "CURRENT ROW AND 3599 FOLLOWING", "left": "3599 PREC
         return d.select("event_id", "n", num(F.col("total")).alias("total"))
 
 
-@query("expanding_windows", f"SELECT event_id, {sql_num(f'avg(value) {_W} / 3.7')} AS value FROM events")
+@query("expanding_windows", f"SELECT event_id, {sql_num(f'avg(value) {_W} / 3.14159265358979')} AS value FROM events")
 def _expanding(t: Tables):
-    return rolling.expanding(t.events, ["user_id"], "ts", {"m": F.avg("value")}).select("event_id", num(F.col("m") / 3.7).alias("value"))
+    return rolling.expanding(t.events, ["user_id"], "ts", {"m": F.avg("value")}).select("event_id", num(F.col("m") / 3.14159265358979).alias("value"))
 
 
 _CUM = {"cumsum": f"sum(value) {_W}", "cummin": f"min(value) {_W}", "cummax": f"max(value) {_W}"}
