@@ -1,32 +1,61 @@
 """Ordered operations over a whole table without gathering it in one task.
 
-Rows are range partitioned by the order and sorted within; each partition's
-summary is one row, so the scan over summaries is as small as the count of
-partitions; each row then adds what came before its partition.
+Rows are range partitioned by the order and sorted within, which is the only
+shuffle; each partition's summary is one row, so the scan over summaries is as
+small as the count of partitions; each row then adds what came before its
+partition. Range bounds come from a sample that another run of the same plan
+would draw anew, so the scanned rows are fixed in the shared folder before
+their summaries are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from arraymill.store import fixed
 
-def _ordered(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    return df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+_STEPS = {"sum": np.add, "min": np.minimum, "max": np.maximum}
+_AGGS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def scan(df: DataFrame, order: list[str | Column], value: Column, name: str, within: str = "sum") -> DataFrame:
-    """df with a running sum, min or max of value in the order, NaN-free."""
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}[within]
-    parted = _ordered(df.withColumn("__v", value), order)
-    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = parted.withColumn("__run", agg("__v").over(w))
-    totals = parted.groupBy("__part").agg(agg("__v").alias("__t"))  # a row per partition
+    """df with a running sum, min or max of value in the order; nulls are passed over.
+
+    Whole numbers are scanned as bigint, all others as double.
+    """
+    whole = df.select(value.alias("v")).schema["v"].dataType.typeName() in ("byte", "short", "integer", "long")
+    held = df.withColumn("__v", value.cast("bigint" if whole else "double"))
+    parted = held.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    at, step = held.columns.index("__v"), _STEPS[within]
+    blank = {"sum": 0, "min": np.iinfo(np.int64).max, "max": np.iinfo(np.int64).min} if whole else {"sum": 0.0, "min": np.inf, "max": -np.inf}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met = blank[within], False
+        for b in batches:
+            if b.num_rows:
+                column = b.column(at)
+                good = column.is_valid().to_numpy(zero_copy_only=False)
+                v = column.fill_null(blank[within]).to_numpy(zero_copy_only=False)
+                out = step(step.accumulate(v), last)
+                seen = np.logical_or.accumulate(good) | met
+                last, met = out[-1], bool(seen[-1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=~seen)], [*b.schema.names, "__run"])
+
+    form = StructType([*parted.schema.fields, StructField("__run", LongType() if whole else DoubleType())])
+    inner = fixed(parted.sortWithinPartitions(*order).mapInArrow(run, form))
+    totals = inner.groupBy("__part").agg(_AGGS[within]("__v").alias("__t"))  # a row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("__part", agg("__t").over(before).alias("__c"))
+    carry = totals.select("__part", _AGGS[within]("__t").over(before).alias("__c"))
     both = inner.join(F.broadcast(carry), "__part")
-    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}[within]
-    return both.withColumn(name, join(F.col("__run"), F.col("__c"))).drop("__part", "__v", "__run", "__c")
+    a, c = F.col("__run"), F.col("__c")
+    joined = F.coalesce(a, F.lit(0)) + F.coalesce(c, F.lit(0)) if within == "sum" else (F.least if within == "min" else F.greatest)(a, c)
+    return both.withColumn(name, joined).drop("__part", "__v", "__run", "__t", "__c")
 
 
 def running_total(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:

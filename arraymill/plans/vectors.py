@@ -202,7 +202,7 @@ def _cumprod(t: Tables):
 
 @query("cumsum_whole", "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) + 0.0 AS value FROM orders")
 def _cumsum_whole(t: Tables):
-    return prefix.running_total(t.orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,4)").alias("p")), ["o_orderkey"], "p", "run").select("o_orderkey", num(F.col("run"), 2).alias("value"))
+    return prefix.running_total(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], "o_totalprice", "run").select("o_orderkey", num(F.col("run"), 2).alias("value"))
 
 
 for _k in (2, -3):
