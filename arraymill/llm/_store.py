@@ -25,3 +25,14 @@ def stage(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Texts are long: this many rows in a batch for Python keep a task's memory small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

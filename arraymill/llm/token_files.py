@@ -113,7 +113,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield flush()
 
-    src.mapInArrow(build, _BLOCK).write.parquet(f"{path}/blocks")
+    src.mapInArrow(build, _BLOCK).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
     spark = docs.sparkSession
     sizes = spark.read.parquet(f"{path}/blocks").select("part", "block", "n_ids")
     parts = sorted(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one row per partition of the write
