@@ -156,5 +156,5 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_max(starts).cast("long").alias("last_word"),
         join(base).alias("base_labels"),
         join(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
-        F.least(F.lit(1.0), F.when(n > 0, F.greatest(best, F.lit(0.5))).otherwise(best)).alias("score"),
+        F.round(F.least(F.lit(1.0), F.when(n > 0, F.greatest(best, F.lit(0.5))).otherwise(best)), 6).alias("score"),
     )

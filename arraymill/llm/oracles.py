@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+from .licenses import AGREE, PHRASES, TEMPLATES
+
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -41,3 +45,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def licenses() -> str:
+    """The license scan: base phrases, templates by their key phrases and share of agreeing words, weights by document frequency."""
+    known = sorted({w for t in (*PHRASES, *(t for _, t, _ in TEMPLATES)) for w in t.split()})
+
+    def match(offset: int, some: list[str]) -> str:
+        return f"w[s + {offset + 1}:s + {offset + len(some)}] = {some!r}"
+
+    def places(label: str, text: str, keys: tuple[tuple[int, int], ...], base: bool) -> str:
+        ws = text.split()
+        at, n = keys[0][0], len(ws)
+        same = " + ".join(f"CAST(coalesce(w[s + {k + 1}] = '{x}', false) AS INT)" for k, x in enumerate(ws))
+        part = " + ".join(f"CASE WHEN w[s + {k + 1}] = '{x}' THEN (SELECT idf FROM idf WHERE word = '{x}') ELSE 0 END" for k, x in enumerate(ws))
+        whole = " + ".join(f"(SELECT idf FROM idf WHERE word = '{x}')" for x in ws)
+        good = " AND ".join([f"s >= 0 AND s + {n} <= len(w)", *(match(a, ws[a : a + m]) for a, m in keys), f"{same} >= {n if base else ceil(AGREE * n)}"])
+        return f"SELECT doc_id, s, '{label}' AS label, {str(base).lower()} AS base, {'0.0' if base else f'({part}) / ({whole})'} AS weight FROM (SELECT p.doc_id, p.i - {at} AS s, d.w FROM p JOIN d USING (doc_id) WHERE p.word = '{ws[at]}') WHERE {good}"
+
+    parts = [places(label, text, ((0, len(text.split())),), True) for text, label in PHRASES.items()] + [places(label, text, keys, False) for label, text, keys in TEMPLATES]
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM documents),
+p AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) WHERE word IN {tuple(known)!r}),
+df AS (SELECT word, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM (SELECT unnest({known!r}) AS word) LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM p GROUP BY word) USING (word)),
+idf AS (SELECT word, 1.0 / (1 + n / greatest(1, (SELECT sum(n) FROM df))) AS idf FROM df),
+m AS ({" UNION ALL ".join(parts)}),
+a AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(weight) AS best FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  round(CAST(least(1.0, CASE WHEN n_base > 0 THEN greatest(coalesce(best, 0), 0.5) ELSE coalesce(best, 0) END) AS DOUBLE), 6) AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""

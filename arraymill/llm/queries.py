@@ -116,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": oracles.licenses(),
     "op6_embedding_dedup": oracles.EMBEDDINGS,
     "op7_substring_dedup": oracles.SUBSTRINGS,
     "op9_decontamination": oracles.DECONTAMINATION,
