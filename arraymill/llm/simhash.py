@@ -51,29 +51,32 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of the lower-cased texts at[i]:at[i+1], and the number of each text's first (one more at the end)."""
+    starts, ends, first = words(raw, at, BLANKS)
+    if not len(starts):
+        return np.zeros(0, dtype=_U), np.zeros(len(at), dtype=np.int64)
+    keep = ~BLANKS[raw]
+    after = ends[ends < len(raw)]
+    keep[after[BLANKS[raw[after]]]] = True  # one blank after each word
+    place = np.cumsum(keep) - 1
+    joined = raw[keep]
+    joined[BLANKS[joined]] = 0x20
+    count = np.diff(first)
+    width = np.minimum(count, shingle)
+    of_text = np.repeat(width, count)  # of each word
+    left = np.repeat(first[1:], count) - np.arange(len(starts))
+    heads = np.flatnonzero(left >= of_text)
+    lasts = heads + of_text[heads] - 1
+    return xxh64(joined, place[starts[heads]], place[ends[lasts] - 1] + 1, seed), np.searchsorted(heads, first)
+
+
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit SimHash of each text of a string column."""
     data, offs = flat(texts)
     out = np.zeros(len(offs) - 1, dtype=_U)
     for i, j in runs(offs):
-        raw, at = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
-        starts, ends, first = words(raw, at, BLANKS)
-        if not len(starts):
-            continue
-        keep = ~BLANKS[raw]
-        after = ends[ends < len(raw)]
-        keep[after[BLANKS[raw[after]]]] = True  # one blank after each word
-        place = np.cumsum(keep) - 1
-        joined = raw[keep]
-        joined[BLANKS[joined]] = 0x20
-        count = np.diff(first)
-        width = np.minimum(count, shingle)
-        of_text = np.repeat(width, count)  # of each word
-        left = np.repeat(first[1:], count) - np.arange(len(starts))
-        heads = np.flatnonzero(left >= of_text)
-        lasts = heads + of_text[heads] - 1
-        hashes = xxh64(joined, place[starts[heads]], place[ends[lasts] - 1] + 1, seed)
-        out[i:j] = _majority(hashes, np.searchsorted(heads, first))
+        out[i:j] = _majority(*shingle_hashes(LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], shingle, seed))
     return out
 
 
@@ -236,12 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once. Rows with a null id stay."""
-    found = stage(near_duplicates(docs, id_col, text_col, radius).select(id_col, "component_id"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once. Rows with a null id stay.
+
+    A group is linked by a Jaccard similarity of at least share between sets of
+    shingles, found without loss (see overlap); texts without words are alike.
+    """
+    from .overlap import copies
+
+    found = stage(copies(docs, id_col, text_col, shingle, share))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
     out = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+    if found.groupBy(id_col).count().where("count > 1").limit(1).count():
         known = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         out = known.unionByName(out.where(F.col(id_col).isNull()))
     return out

@@ -126,6 +126,28 @@ def test_one_of_each(docs, rows):
     assert len(kept) == len(set(kept)) and not {100 + k for k in range(10)} & set(kept) and set(range(40)) <= set(kept)
 
 
+def test_one_of_each_by_overlap(spark):
+    """All pairs with a Jaccard similarity of 0.8 or more of five words, and no others, against brute force."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(rng.choice([3, 30, 200, 400]))]
+        texts.append(" ".join(w))
+        for changed in (1, 3, 6, 9):
+            v = list(w)
+            for k in rng.sample(range(len(v)), min(changed, len(v))):
+                v[k] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    texts += ["same line here again now " * 30 + f"tail{k}" for k in range(4)]
+    s = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (BLANK.findall(lowered(t)) for t in texts)]
+    near = lambda i, j: len(s[i] & s[j]) * 5 >= 4 * len(s[i] | s[j])
+    far = [(fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 3 for i in range(len(s)) for j in range(i) if near(i, j)]
+    assert sum(far) > 10
+    want = {c for c in grouped(list(range(len(s))), near)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(d).collect()} == want
+
+
 def test_thresholds_cover():
     for parts in (2, 3, 4):
         assert sum(simhash.allocate([[0, 1, 5, 9, 20]] * parts, 3 - parts + 1)) == 3 - parts + 1
