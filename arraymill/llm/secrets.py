@@ -1,7 +1,9 @@
 """Secret scans with a random forest against false positives.
 
 Candidates are runs of letters, digits and + / _ - . that are long enough and
-hold a digit, or are all capitals, or stand after = or :. Each is described by
+hold a digit, or are all capitals, or stand after = or :, and besides them the
+whole value, quoted or up to a blank, that is put behind a name with one of
+SECRET_WORDS, from NAMED_LEAST bytes on. Each is described by
 its length, its characters and how they follow each other (against the pairs of
 characters of the whole corpus), how much of it the corpus' frequent words
 cover, the path it came from and the words around it. A random forest, trained
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ._text import LOWER, flat, runs, separators, span_hashes, words
 
 _U = np.uint64
-LEAST, MAX_FINDINGS = 12, 20_000
+LEAST, NAMED_LEAST, MAX_FINDINGS = 12, 4, 20_000
 _JOINT = separators((0x00, 0x2A), (0x2C, 0x2C), (0x3A, 0x40), (0x5B, 0x5E), (0x60, 0x60), (0x7B, 0xFF))
 _LETTERS = separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _DIGIT = separators((0x30, 0x39))
@@ -36,6 +38,13 @@ PATH_HINTS = ("test", "example", "doc", "lock", "sample", "fixture")
 _CONFIG = ("env", "conf", "secret", "cred", "yaml", "yml", "ini", "properties")
 _AROUND = 48
 WORD = re.compile(rb"[A-Za-z]+")
+#: What is named before = or :, the words of a name, and the value after it.
+_NAME = re.compile(rb"([A-Za-z0-9_.-]+)[\"'\]]{0,2}[ \t]*[:=]?\Z")
+_PARTS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_VALUE = re.compile(rb"[:=>]{0,2}[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"']\S*))")
+_CLOSED = re.compile(rb"[\"'][\"',;)\]}>]*\Z")
+_PUTS = separators((0x3A, 0x3A), (0x3D, 0x3D))
+_PUNCT = separators((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _STARTS = re.compile(rb"AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-|npm_|pypi-|SG\.|rk_")
 
 
@@ -87,6 +96,15 @@ def _covered(text: bytes, corpus: Corpus) -> float:
     return hit / len(text)
 
 
+def _names_secret(before: bytes) -> bool:
+    """Whether the text before a = or : ends in a name with one of SECRET_WORDS."""
+    m = _NAME.search(before[-_AROUND:])
+    if m is None:
+        return False
+    name = m[1].decode()
+    return any(w.decode().lower() in SECRET_WORDS for w in (*_PARTS.findall(m[1]), *WORD.findall(m[1]))) or name.rstrip("0123456789").lower().endswith(("password", "passwd", "secret", "token", "apikey"))
+
+
 def features(text: bytes, before: bytes, after: bytes, path: str, corpus: Corpus) -> list[float]:
     """What the forest sees of one candidate."""
     raw = np.frombuffer(text, np.uint8)
@@ -126,6 +144,10 @@ def features(text: bytes, before: bytes, after: bytes, path: str, corpus: Corpus
         float(any(h in where for h in PATH_HINTS)),
         float(any(h in where for h in _CONFIG)),
         float(any(w in SECRET_WORDS for w in later)),
+        float(_PUNCT[raw].mean()),
+        float(tail[-1:] in (b"=", b":") and _names_secret(tail[:-1])),
+        float(before[-1:] in (b" ", b"\t")),
+        float(any(x in text for x in (b"(", b"${", b"{{", b"<", b"["))),
     ]
 
 
@@ -189,6 +211,8 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
     syl = lambda: r.choice("ba co de fi go lu ma ne po ra si tu ver ing tion ent and the ous able con pre der sch mente que eau".split())
     word = lambda: "".join(syl() for _ in range(r.randint(1, 5)))
     text = lambda k: " ".join(word() for _ in range(k))
+    marks = "!@#$%^&*~?"
+    said_of = lambda: r.choice(["access", "login", "session", "auth", "key", "token", "secret", "password", "pass", "private", "api"])
     plain = ["src/app.py", "README.md", "src3", "notes.txt", "web/page.html", "main.go"]
     paths = [*plain, "config/prod.env", "settings.yaml", "deploy/secrets.yml"]
     out = []
@@ -197,7 +221,7 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
         put = r.choice(["=", " = ", ": ", ":", '="', ' = "', '": "'])
         lead, tail = text(r.randint(0, 4)), text(r.randint(0, 4))
         if i % 2:
-            kind = r.randrange(9)
+            kind = r.randrange(13)
             value = [
                 lambda: r.choice(["AKIA", "ASIA"]) + some(up + "234567" if r.random() < 0.5 else up + dig, 16),
                 lambda: r.choice(["ghp_", "gho_", "ghs_"]) + some(low + up + dig, 36),
@@ -208,12 +232,16 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
                 lambda: hexa(r.choice([16, 18, 20, 24, 32, 40, 64])),
                 lambda: some(low + up + dig + "+/", r.choice([20, 32, 40, 44])),
                 lambda: some(low + up + dig, r.randint(12, 24)),
+                lambda: some(low + up + dig, r.randint(6, 11)),
+                lambda: r.choice([str, str.capitalize])(word()[: r.randint(4, 9)]) + some(dig, r.randint(1, 4)),
+                lambda: r.choice([str, str.capitalize])(word()[:8]) + some(marks, 1) + r.choice([word()[:6], some(low + dig, 3)]) + some(marks, r.randint(0, 1)) + some(dig, r.randint(1, 4)),
+                lambda: some(low + up + dig + marks, r.randint(8, 20)),
             ][kind]()
             bare = kind < 6 and r.random() < 0.6
             before = f"{lead} " if bare else f"{lead} {name}{put}"
             out.append((before, value, ('" ' if put.endswith('"') and not bare else " ") + tail, r.choice(paths), 1))
             continue
-        kind = r.randrange(14)
+        kind = r.randrange(18)
         said = r.choice(["commit", "sha256", "md5", "checksum", "digest", "integrity", "rev", "hash", "etag", "uuid", "id"])
         before, value = [
             lambda: (f"{lead} {said} ", hexa(r.choice([32, 40, 64]))),
@@ -230,6 +258,10 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
             lambda: (f"{lead} version ", f"{r.randint(0, 20)}.{r.randint(0, 99)}.{r.randint(0, 999)}-rc{r.randint(1, 9)}.{word()}"),
             lambda: (f"{lead} ", word() + word() + word() + word() + some(dig, r.randint(1, 2))),
             lambda: (f"{lead}{r.choice([':', '=', ' = '])}", word() + word() + word() + word()),
+            lambda: (f"{lead} {said_of()}{r.choice([': ', ' = ', ':', '='])}", word() + r.choice(["", "", ",", ".", ";"])),
+            lambda: (f"{lead} {said_of()}{put}", r.choice(["true", "false", "null", "None", "none", "required", "optional", "string", "bytes", "hidden", "changeme", "example1", "xxxxxxxx", "********", "test1234", "<password>", "<your-token>", "${SECRET}", "{{token}}", "[secret]"])),
+            lambda: (f"{lead} {said_of()}{r.choice([' = ', '=', ': '])}", r.choice([f"get_{word()}()", f"self.{word()}", f"os.environ['{word().upper()}']", f"{word()}.{word()}({word()})", f"process.env.{word().upper()}", f"${{{word().upper()}}}", f"${word().upper()}", f"Optional[{word()}]"])),
+            lambda: (f"{lead} {said_of()}{r.choice([': ', '='])}", r.choice([f"20{some(dig, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 23)}:{r.randint(10, 59)}", f"https://{word()}.org/{word()}", f"/{word()}/{word()}", f"{word()}@example.com"])),
         ][kind]()
         out.append((before, value, f" {tail}", r.choice([*plain, "tests/test_x.py", "docs/guide.md", "package-lock.json"]), 0))
     return out
@@ -242,8 +274,32 @@ def train(corpus: Corpus, findings: list[tuple[str, str, str, str, int]] | None
     return Forest(x, np.array([r[4] for r in rows], dtype=float))
 
 
+def named_values(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Start, end and text of each value that is put behind a name with one of SECRET_WORDS."""
+    at = np.flatnonzero(_PUTS[raw])
+    of = np.searchsorted(offs, at, "right") - 1
+    past = 0
+    for p, t in zip(at.tolist(), of.tolist(), strict=True):
+        lo, hi = int(offs[t]), int(offs[t + 1])
+        if p < past or not _names_secret(raw[max(lo, p - _AROUND) : p].tobytes()):
+            continue
+        room = 256
+        while (m := _VALUE.match(raw[p + 1 : min(hi, p + 1 + room)].tobytes())) is not None or room < hi - p:
+            if (m is not None and m.end() < room) or room >= hi - p:
+                break
+            room *= 8  # the value may go on
+        if m is None:
+            continue
+        s, e = m.span(m.lastindex)
+        if m.lastindex == 3:
+            e -= len(c[0]) if (c := _CLOSED.search(m[3])) else 0
+        if e - s >= NAMED_LEAST and not (m.lastindex == 3 and m[3].startswith(b"//")):
+            past = p + 1 + e
+            yield p + 1 + s, past, t
+
+
 def candidates(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and texts of all candidates."""
+    """Starts, ends and texts of all candidates by their start, longer ones first; a named value may hold others."""
     s, e, first = words(raw, offs, _JOINT)
     size = e - s
     digits, capitals = (np.concatenate([[0], np.cumsum(t[raw])]) for t in (_DIGIT, _UPPER))
@@ -254,18 +310,26 @@ def candidates(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         free = ((lead == 32) | (lead == 34) | (lead == 39)) & (s - back >= offs[of])
         lead[free] = raw[at[free]]
     on = (size >= LEAST) & ((digits[e] > digits[s]) | (capitals[e] - capitals[s] == size) | (lead == 0x3D) | (lead == 0x3A))
-    return s[on], e[on], of[on]
+    more = np.array(list(named_values(raw, offs)), dtype=np.int64).reshape(-1, 3).T
+    s, e, of = (np.concatenate([x[on], y]) for x, y in zip((s, e, of), more, strict=True))
+    order = np.lexsort((-e, s))
+    order = order[np.append(True, (s[order][1:] != s[order][:-1]) | (e[order][1:] != e[order][:-1]))] if len(order) else order
+    return s[order], e[order], of[order]
 
 
 def _found(raw: np.ndarray, at: np.ndarray, paths: list[str], corpus: Corpus, forest: Forest, cut: float) -> tuple[np.ndarray, list[list[dict]]]:
-    """Per text the count of candidates and the findings."""
+    """Per text the count of candidates and the findings; those that overlap are one."""
     s, e, of = candidates(raw, at)
     found: list[list[dict]] = [[] for _ in range(len(at) - 1)]
     if len(s):
         rows = [features(raw[a:z].tobytes(), raw[max(at[t], a - _AROUND) : a].tobytes(), raw[z : min(at[t + 1], z + _AROUND)].tobytes(), paths[t], corpus) for a, z, t in zip(s, e, of, strict=True)]
         score = forest.predict(np.array(rows))
-        for k in np.flatnonzero(score >= cut):
-            found[of[k]].append({"first": int(s[k] - at[of[k]]), "past": int(e[k] - at[of[k]]), "score": float(score[k])})
+        for k in np.flatnonzero(score >= cut).tolist():
+            own, one = found[of[k]], {"first": int(s[k] - at[of[k]]), "past": int(e[k] - at[of[k]]), "score": float(score[k])}
+            if own and one["first"] < own[-1]["past"]:
+                own[-1] |= {"past": max(own[-1]["past"], one["past"]), "score": max(own[-1]["score"], one["score"])}
+            else:
+                own.append(one)
     return np.bincount(of, minlength=len(at) - 1), found
 
 

@@ -353,6 +353,19 @@ def test_secrets(spark, none):
     assert secrets.findings(none, secrets.corpus_counts(none), forest).count() == 0
 
 
+def test_short_secrets_behind_names(spark):
+    """Values under 12 bytes and with punctuation go whole; plain words behind the same names stay."""
+    rng = random.Random(16)
+    lines = ["password=hunter2", "pwd: Passw0rd99", "DB_PASSWORD='xK9#mQ2$'", "apiKey: \"a8Fk20xQz1\"", "password = P@ss!w0rd#2024", "client_secret=q7Wn3Zp9", '{"token":"t0k3n-9Xz"}', "password=Tr0ub4dor&3", "access_token=b7!kP~29xQ"]
+    values = ["hunter2", "Passw0rd99", "xK9#mQ2$", "a8Fk20xQz1", "P@ss!w0rd#2024", "q7Wn3Zp9", "t0k3n-9Xz", "Tr0ub4dor&3", "b7!kP~29xQ"]
+    plain = ["the password: required", "login: the", "session = morning", "key: get_key()", "token: true", "access=public"]
+    d = spark.createDataFrame([(k, f"{prose(rng, 20)} {x} {prose(rng, 20)}") for k, x in enumerate([*lines, *plain])], "doc_id long, text string")
+    corpus = secrets.corpus_counts(d)
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(d, corpus, secrets.train(corpus)).collect()}
+    assert [v for k, v in enumerate(values) if v in out[k] or "[secret]" not in out[k]] == []
+    assert [x for k, x in enumerate(plain, len(lines)) if x not in out[k]] == []
+
+
 def test_forest_beats_chance_on_held_out():
     corpus = secrets.Corpus(np.full((256, 256), -5.5), np.zeros(1 << 16, bool))
     rows = secrets.made_findings(1500, seed=1)
