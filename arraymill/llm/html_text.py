@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a string only right after = (and blanks); a value without quotes runs to a blank or >.
+_VALUE = r"(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?"
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*){_VALUE}")
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*{_VALUE.replace('([^', '(?:[^')})*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements without content, with raw content, never shown, and blocks by the lines they leave free around them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -261,6 +261,16 @@ def test_html():
     assert len(r("<div>" * 5000 + "x")) == 1
 
 
+def test_html_stray_quotes():
+    """Quotes open a string only right after =."""
+    r = html_text.render
+    assert r("<p title=Bob's>Hello <b>you</b></p><p>it's") == "Hello you\n\nit's"
+    assert r("a<img alt='it's'>b<i x\">c</i>") == "abc"
+    assert r("<a href=x\"y>z</a><a title = 'p>q'>w</a><a ='>v</a>") == "zwv"
+    assert r("<p title='never ended>x") == "" and r("<a href=y/ title=\"a>b\"/>t") == "t"
+    assert r("<div style=display:none>no</div><div x=' style='display:none'>yes") == "yes"
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted(map(str, html_text.extract(d).collect())) == sorted(["Row(page_id=1, url='u', text='x')"] * 2 + ["Row(page_id=None, url=None, text=None)"])
