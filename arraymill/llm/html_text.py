@@ -4,8 +4,9 @@ A tree builder turns tags into well nested openings and closings: void and raw
 elements, implied end tags, stray and misnested end tags. A renderer follows
 them with a stack of flows (the page, a list item, a cell), collapses blanks as
 inline layout does, and keeps paragraphs, line breaks, preformatted text, list
-markers and columns of tables apart. Elements that are never or not now shown
-are left out with all inside them.
+markers and columns of tables apart. The texts of svg and math and all options
+of select are set too. Elements that are never or not now shown are left out
+with all inside them; visibility is inherited and can be reset.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements without content, with raw content, never shown, and blocks by the lines they leave free around them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+_UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist".split())
 _BLOCKS = {n: 1 for n in "html body div section article header footer nav aside main address form fieldset legend figcaption li dt dd tr caption summary details center hgroup option dir menu search thead tbody tfoot td th".split()}
 _BLOCKS |= {n: 2 for n in "p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table hr xmp".split()}
 #: An opening tag ends these if they are open, up to a boundary.
@@ -34,6 +35,13 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tbody": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tfoot": ("td", "th", "tr", "thead", "tbody", "tfoot"), "option": ("option",), "optgroup": ("option", "optgroup"), "body": ("head",)}
 _BOUNDS = {"li": frozenset(("ul", "ol", "menu", "dir", "table")), "dt": frozenset(("dl", "table")), "dd": frozenset(("dl", "table"))}
 _TABLE, _CELL, _CELLS = frozenset(("table",)), frozenset(("td", "th", "table")), frozenset("td th tr thead tbody tfoot caption".split())
+#: Foreign content: where HTML resumes in it, what HTML ends it, and what is not shown in it.
+_ROOTS, _RESUMES = ("svg", "math"), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_FOREIGN_UNSEEN = frozenset("annotation annotation-xml mphantom defs symbol clippath mask marker pattern lineargradient radialgradient filter desc metadata title style script".split())
+#: What is set between the parts of a formula; a blank between those of others.
+_BETWEEN = {"mfrac": "/", "msup": "^", "msub": "_", "mover": " ", "munder": " ", "msubsup": " ", "munderover": " ", "mroot": " ", "mtr": " "}
+_VISIBILITY = re.compile(r"(?:^|;)visibility:([a-z]+)")
 _HEAD = frozenset("base link meta title style script noscript template head html".split())
 
 
@@ -47,8 +55,25 @@ def _attributes(raw: str) -> dict[str, str]:
 def _hidden(name: str, attrs: dict[str, str]) -> bool:
     if name in _UNSEEN or "hidden" in attrs or (name == "dialog" and "open" not in attrs):
         return True
-    style = attrs.get("style", "").replace(" ", "").lower()
-    return "display:none" in style or "visibility:hidden" in style or "visibility:collapse" in style
+    return "display:none" in _style(attrs)
+
+
+def _style(attrs: dict[str, str]) -> str:
+    return _SPACE.sub("", attrs.get("style", "")).lower()
+
+
+def _visible(attrs: dict[str, str], inherited: bool) -> bool:
+    """Whether an element's own text shows; a child of a hidden element can show again."""
+    said = _VISIBILITY.findall(_style(attrs)) if "style" in attrs else []
+    return inherited if not said or said[-1] == "inherit" else said[-1] not in ("hidden", "collapse")
+
+
+def _closes_itself(raw: str) -> bool:
+    """Whether the / at the end of a tag is no part of a value."""
+    end = 0
+    for m in _ATTR.finditer(raw):
+        end = m.end()
+    return raw.endswith("/") and end < len(raw)
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -74,6 +99,16 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         while at is not None and len(stack) > at:
             yield pop()
 
+    def foreign() -> int:
+        """The place of the svg or math that the next tag is directly part of, or -1."""
+        if count.get("svg") or count.get("math"):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] in _ROOTS:
+                    return i
+                if stack[i] in _RESUMES:
+                    return -1
+        return -1
+
     pos, n = 0, len(page)
     while pos < n:
         m = _TAG.search(page, pos)
@@ -99,7 +134,7 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             elif count.get(name):
                 bounds = frozenset() if name in ("table", "body", "html") else _TABLE if name in _CELLS or name not in _BLOCKS else _CELL
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == name or stack[i] in bounds), None)
-                if at is not None and stack[at] == name and (name in _BLOCKS or name in _UNSEEN or not any(s in _BLOCKS for s in stack[at + 1 :])):
+                if at is not None and stack[at] == name and (name in _BLOCKS or name in _UNSEEN or name in _ROOTS or name == "select" or not any(s in _BLOCKS for s in stack[at + 1 :])):
                     while len(stack) > at:
                         yield pop()
             continue
@@ -110,8 +145,15 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield from close_to(("p",), frozenset(("td", "th", "table", "button")))
         if name in _ENDS:
             yield from close_to(_ENDS[name], _BOUNDS.get(name, _TABLE))
+        at = foreign()
+        if at >= 0 and name in _BREAKS:
+            while len(stack) > at:
+                yield pop()
+            at = -1
         yield "open", name, attrs
-        if name in _VOID:
+        if (at >= 0 or name in _ROOTS) and m[3] and _closes_itself(m[3]):
+            yield "close", name, {}
+        elif name in _VOID:
             yield "close", name, {}
         elif name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, pos)
@@ -201,11 +243,13 @@ def render(page: str | None) -> str | None:
     tables: list[tuple[list[list[tuple[str, int]]], list[str]]] = []
     lists: list[list] = []  # [ordered, next number]
     frames: list[tuple[str, object]] = []  # what each open element needs at its end
+    shown: list[bool] = [True]
+    inside: list[list] = []  # of each open element in svg or math: its name, its parts so far, whether svg text shows
     dark = pre = 0
     for kind, name, attrs in events(page):
         flow = flows[-1]
         if kind == "text":
-            if dark:
+            if dark or not shown[-1] or (inside and not inside[-1][2]):
                 continue
             if pre:
                 parts = name.replace("\r\n", "\n").split("\n")
@@ -218,12 +262,38 @@ def render(page: str | None) -> str | None:
                 flow.text(name)
             continue
         if kind == "open":
-            if dark or _hidden(name, attrs):
+            if dark or _hidden(name, attrs) or (inside and name in _FOREIGN_UNSEEN):
                 dark += 1
                 frames.append(("dark", None))
                 continue
             frame: tuple[str, object] = ("", None)
-            if name == "br":
+            shown.append(_visible(attrs, shown[-1]))
+            if inside or name in _ROOTS:
+                if inside:
+                    inside[-1][1] += 1
+                    if inside[-1][1] > 1 and (between := _BETWEEN.get(inside[-1][0])) and shown[-1]:
+                        flow.text(between)
+                inside.append([name, 0, name in ("text", "foreignobject", "math") or (name != "svg" and inside[-1][2])])
+                frame = ("inside", None)
+                if name in ("text", "foreignobject", "mtr"):
+                    flow.block(1)
+                    frame = ("inside", 1)
+                if name in ("text", "foreignobject", "mtr") or name not in _BLOCKS and name != "br":
+                    frames.append(frame)
+                    continue
+                inside.pop()
+                frame = ("", None)
+            if name == "optgroup" or (name == "option" and attrs.get("label")):
+                flow.block(1)
+                if shown[-1]:
+                    flow.text(attrs.get("label", ""))
+                flow.block(1)
+                if name == "option":
+                    shown[-1] = False  # the label stands for the text
+                frame = ("block", 1)
+            elif not shown[-1] and name in ("br", "hr"):
+                pass
+            elif name == "br":
                 flow.line()
             elif name == "hr":
                 flow.block(2)
@@ -271,6 +341,12 @@ def render(page: str | None) -> str | None:
         end, value = frames.pop()
         if end == "dark":
             dark -= 1
+            continue
+        shown.pop()
+        if end == "inside":
+            inside.pop()
+            if value:
+                flow.block(value)
         elif end == "block":
             flow.block(value)
         elif end == "pre":

@@ -271,6 +271,17 @@ def test_html_stray_quotes():
     assert r("<div style=display:none>no</div><div x=' style='display:none'>yes") == "yes"
 
 
+def test_html_foreign_and_visibility():
+    """Formulas, svg labels, options and visible children of hidden elements."""
+    r = html_text.render
+    assert r("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b") == "a x=1/2 b"
+    assert r("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/>no<text x=1>one</text><text>two<tspan>s</tspan></text></svg>b") == "a\none\ntwos\nb"
+    assert r("<svg><circle/><p>out</p>") == "out" and r("<svg><foreignObject><div>in</div></foreignObject></svg>z") == "in\nz"
+    assert r("<select><option>red<option selected>blue<optgroup label=more><option label=pink>x</select>z").split() == ["red", "blue", "more", "pink", "z"]
+    assert r("<div style='visibility: hidden'>no<b style='visibility:visible'>yes</b>no<div>no</div></div>") == "yes"
+    assert r("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x") == "x"
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted(map(str, html_text.extract(d).collect())) == sorted(["Row(page_id=1, url='u', text='x')"] * 2 + ["Row(page_id=None, url=None, text=None)"])
