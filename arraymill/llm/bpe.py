@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._pieces import Encoder, Spelling, piece_starts, unsure
+from ._store import bounded
 from ._text import flat, runs
 
 CHUNK, OVERLAP = 1 << 16, 1 << 12
@@ -64,7 +65,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     path, pat = (vocabulary, pattern) if vocabulary and pattern else default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
             out = [table.of(ids).tobytes() for ids in _per_row(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "bytes"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(spell, f"id {kind}, bytes binary").select(F.col("id").alias(id_col), "bytes")
+    return bounded(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))).mapInArrow(spell, f"id {kind}, bytes binary").select(F.col("id").alias(id_col), "bytes")
 
 
 @lru_cache(maxsize=2)
@@ -195,4 +196,4 @@ def digests(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     form = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return encoded.select(id_col, ids_col).mapInArrow(digest, form)
+    return bounded(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))).mapInArrow(digest, form)

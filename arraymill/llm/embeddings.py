@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stage
+from ._store import bounded, stage
 from .components import components
 
 THRESHOLD, BAND, TILE = 0.9, 4096, 512

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import bounded
+
 #: A quote opens a string only right after = (and blanks); a value without quotes runs to a blank or >.
 _VALUE = r"(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?"
 _ATTR = re.compile(rf"([^\s/>][^\s/>=]*){_VALUE}")
@@ -383,7 +385,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     to the end of the page. Repeated rows stay; an empty table gives no rows.
     Columns not in keep are ignored; the result's text column is named text.
     """
-    src = pages.select(*keep, F.col(html_col).alias("_html"))
+    src = bounded(pages.select(*keep, F.col(html_col).alias("_html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import bounded
 from ._text import LOWER, flat, runs, separators, span_hashes, words
 
 _U = np.uint64
@@ -74,7 +75,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> Corpus:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(both[k])], ["k", "c"])
 
     got = np.zeros(1 << 17)
-    for k, c in docs.select(text_col).mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c")).toLocalIterator():
+    for k, c in bounded(docs.select(text_col)).mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c")).toLocalIterator():
         got[k] = c
     pairs = got[: 1 << 16].reshape(256, 256)
     seen = got[1 << 16 :]
@@ -352,12 +353,13 @@ def findings(docs: DataFrame, corpus: Corpus, forest: Forest, id_col: str = "doc
                 n, found = _found(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], paths[i:j], *shared.value, cut)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(found, pa.list_(place))], ["id", "n_candidates", "findings"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(scan, f"id {kind}, n_candidates long, findings array<struct<first:int,past:int,score:double>>")
+    out = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"))).mapInArrow(scan, f"id {kind}, n_candidates long, findings array<struct<first:int,past:int,score:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, corpus: Corpus, forest: Forest, text_col: str = "text", path_col: str | None = "source", cut: float = 0.5, put: str = "[secret]") -> DataFrame:
     """The rows of docs, all columns, with put in the place of each finding; null texts stay null."""
+    docs = bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, forest))
     at, where = docs.columns.index(text_col), docs.columns.index(path_col) if path_col in docs.columns else None
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stage
+from ._store import bounded, stage
 from ._text import BLANKS, LOWER, flat, runs, words
 from ._xxh64 import xxh64
 from .components import components
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint (null if no other row has it). An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
-    marked = stage(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"))
+    marked = stage(fingerprints(bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "id", "text"))
     distinct = stage(marked.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
     reached = components(links(distinct, radius, parts))
     classes = distinct.join(reached, distinct["id"] == reached["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
@@ -247,6 +247,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     from .overlap import copies
 
+    docs = bounded(docs)
     found = stage(copies(docs, id_col, text_col, shingle, share))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
     out = docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ._elias_fano import View, pack
 from ._pieces import Encoder
+from ._store import bounded
 from ._text import flat, runs
 
 BLOCK_IDS = 1 << 20
@@ -79,7 +80,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     file set without blocks. Other columns are ignored.
     """
     name = tokenizer or default_tokenizer()
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     src = src.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([names, pa.array(start + upto[:-1]), rows], ["doc_id", "start", "ids"])
 
-    return blocks.select("start", "nulls", "least", "width", "docs", "ends", "ids").mapInArrow(unpack, "doc_id long, start long, ids array<int>")
+    return bounded(blocks.select("start", "nulls", "least", "width", "docs", "ends", "ids")).mapInArrow(unpack, "doc_id long, start long, ids array<int>")
 
 
 def document(spark: SparkSession, path: str, doc_id: int) -> list[int]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import bounded
 from ._text import LOWER, flat, mix, runs, separators, span_hashes, words
 
 _U = np.uint64
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = lab.count()
     if n > max_rows:
         lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(max_rows / n * (1 << 32)))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id").select("text", "y")
+    src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).join(lab, "id").select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,12 +174,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     found[t].append({"sentence": int(s - first[t]), "text": text, "score": float(each[s])})
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(total), pa.array(found, pa.list_(place))], ["id", "score", "offending"])
 
-    out = docs.select(id_col, text_col).mapInArrow(judge, f"id {kind}, score double, offending array<struct<sentence:int,text:string,score:double>>")
+    out = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(judge, f"id {kind}, score double, offending array<struct<sentence:int,text:string,score:double>>")
     return out.select(F.col("id").alias(id_col), "score", "offending")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text scores below cut."""
+    docs = bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
