@@ -305,21 +305,59 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_substrings(docs, rows, none):
-    words, first = {d: BLANK.findall(t or "") for d, t in rows}, {}
-    for d, w in words.items():
-        for k in range(len(w) - 12):
+def without_repeats(rows):
+    """Brute force: a window goes if it also starts in a row with a smaller id."""
+    words, first = [BLANK.findall(t or "") for _, t in rows], {}
+    for (d, _), w in zip(rows, words):
+        for k in range(len(w) - 12 if d is not None else 0):
             first[tuple(w[k : k + 13])] = min(d, first.get(tuple(w[k : k + 13]), d))
-    want = []
-    for d, _ in rows:
-        w = words[d]
-        gone = {k + i for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for i in range(13)}
-        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = sorted(map(tuple, substrings.without_repeats(docs).collect()))
-    assert got == sorted(want) and any(r[2] for r in got)
+    out = []
+    for (d, _), w in zip(rows, words):
+        gone = {k + i for k in range(len(w) - 12 if d is not None else 0) if first[tuple(w[k : k + 13])] < d for i in range(13)}
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_substrings(docs, rows, none):
+    want = without_repeats(rows)
+    got = sorted(map(tuple, substrings.without_repeats(docs).collect()), key=str)
+    assert got == want and any(r[2] for r in got)
     assert substrings.without_repeats(none).count() == 0
 
 
+def test_substrings_of_short_rows(spark):
+    """Batches without one anchor: a single short row, and a partition of short rows only."""
+    for some in ([(1, "short text")], [(k, "a b c") for k in range(50)] + [(60, None), (None, "x")]):
+        d = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        assert sorted(map(tuple, substrings.without_repeats(d).collect()), key=str) == without_repeats(some)
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(21)
+    w = prose(rng, 40)
+    some = [(0, w), (1, "zz " + w), (1, prose(rng, 20)), (1, prose(rng, 60) + " " + w), (2, prose(rng, 30)), (2, w), (2, w), (None, w), (3, prose(rng, 30) + " " + w + " end")]
+    got = substrings.without_repeats(spark.createDataFrame(some, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == without_repeats(some)
+
+
+def test_a_long_text_beside_short_ones(spark):
+    """Texts of 1 MB and more in one partition; batches are bounded by bytes and the caller's session is left alone."""
+    rng = random.Random(22)
+    long = prose(rng, 200_000)
+    some = [(k, f"{long[k * 1000 : k * 1000 + 1_000_000]} {k}") for k in range(4)] + [(9, "short")]
+    d = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+    before = dict(spark.conf.getAll)
+    from arraymill.llm._store import bounded
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in bounded(d).mapInArrow(rows, "n long").collect()) < 6 << 20
+    assert sorted(map(tuple, substrings.without_repeats(d).collect()), key=str) == without_repeats(some)
+    assert dict(spark.conf.getAll) == before
+
+
 def test_cover():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
 
