@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
-
-from .licenses import AGREE, PHRASES, TEMPLATES
+from .licenses import AGREE, PHRASES, RARE, TEMPLATES
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,28 +46,26 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def licenses() -> str:
-    """The license scan: base phrases, templates by their key phrases and share of agreeing words, weights by document frequency."""
-    known = sorted({w for t in (*PHRASES, *(t for _, t, _ in TEMPLATES)) for w in t.split()})
-
-    def match(offset: int, some: list[str]) -> str:
-        return f"w[s + {offset + 1}:s + {offset + len(some)}] = {some!r}"
-
-    def places(label: str, text: str, keys: tuple[tuple[int, int], ...], base: bool) -> str:
-        ws = text.split()
-        at, n = keys[0][0], len(ws)
-        same = " + ".join(f"CAST(coalesce(w[s + {k + 1}] = '{x}', false) AS INT)" for k, x in enumerate(ws))
-        part = " + ".join(f"CASE WHEN w[s + {k + 1}] = '{x}' THEN (SELECT idf FROM idf WHERE word = '{x}') ELSE 0 END" for k, x in enumerate(ws))
-        whole = " + ".join(f"(SELECT idf FROM idf WHERE word = '{x}')" for x in ws)
-        good = " AND ".join([f"s >= 0 AND s + {n} <= len(w)", *(match(a, ws[a : a + m]) for a, m in keys), f"{same} >= {n if base else ceil(AGREE * n)}"])
-        return f"SELECT doc_id, s, '{label}' AS label, {str(base).lower()} AS base, {'0.0' if base else f'({part}) / ({whole})'} AS weight FROM (SELECT p.doc_id, p.i - {at} AS s, d.w FROM p JOIN d USING (doc_id) WHERE p.word = '{ws[at]}') WHERE {good}"
-
-    parts = [places(label, text, ((0, len(text.split())),), True) for text, label in PHRASES.items()] + [places(label, text, keys, False) for label, text, keys in TEMPLATES]
+    """The license scan: the postings of each template's rarest key words are joined to all words, grouped by start, and what all of them name is compared word by word."""
+    every = [(label, p, ((0, len(p.split())),), True) for p, label in PHRASES.items()] + [(*t, False) for t in TEMPLATES]
+    words = [(t, o, w) for t, (_, text, _, _) in enumerate(every) for o, w in enumerate(text.split())]
+    keys = sorted({(t, o) for t, (_, _, ks, _) in enumerate(every) for a, n in ks for o in range(a, a + n)})
+    kinds = [(t, label, base, len(text.split())) for t, (label, text, _, base) in enumerate(every)]
+    rows = lambda some: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in some)
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM documents),
-p AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) WHERE word IN {tuple(known)!r}),
-df AS (SELECT word, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM (SELECT unnest({known!r}) AS word) LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM p GROUP BY word) USING (word)),
-idf AS (SELECT word, 1.0 / (1 + n / greatest(1, (SELECT sum(n) FROM df))) AS idf FROM df),
-m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n_words FROM d),
+tw(t, o, word) AS (VALUES {rows(words)}), tk(t, o) AS (VALUES {rows(keys)}), tt(t, label, base, n) AS (VALUES {rows(kinds)}),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM p WHERE word IN (SELECT word FROM tw) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word)),
+post AS (SELECT * FROM (SELECT t, o, word, row_number() OVER (PARTITION BY t ORDER BY idf DESC, o) AS k FROM tw JOIN tk USING (t, o) JOIN idf USING (word)) WHERE k <= {RARE}),
+met AS (SELECT doc_id, n_words, t, s FROM (SELECT doc_id, n_words, t, i - o AS s, count(*) AS named FROM p JOIN post USING (word) GROUP BY doc_id, n_words, t, i - o) JOIN (SELECT t, count(*) AS k FROM post GROUP BY t) USING (t) WHERE named = k),
+same AS (SELECT m.doc_id, m.t, m.s, tw.o, idf.idf, CAST(coalesce(p.word = tw.word, false) AS INT) AS ok, tk.o IS NOT NULL AS is_key
+  FROM met m JOIN tt USING (t) JOIN tw USING (t) JOIN idf ON idf.word = tw.word LEFT JOIN tk ON tk.t = tw.t AND tk.o = tw.o LEFT JOIN p ON p.doc_id = m.doc_id AND p.i = m.s + tw.o
+  WHERE m.s >= 0 AND m.s + tt.n <= m.n_words),
+m AS (SELECT doc_id, s, label, base, CASE WHEN base THEN 0.0 ELSE weight END AS weight FROM (
+  SELECT doc_id, t, s, sum(ok) AS agree, min(CASE WHEN is_key THEN ok ELSE 1 END) AS keyed, sum(ok * idf) / sum(idf) AS weight FROM same GROUP BY doc_id, t, s) JOIN tt USING (t)
+  WHERE keyed = 1 AND agree >= CASE WHEN base THEN n ELSE ceil({AGREE} * n) END),
 a AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(weight) AS best FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
