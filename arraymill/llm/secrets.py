@@ -3,17 +3,20 @@
 Candidates are runs of letters, digits and + / _ - . that are long enough and
 hold a digit, or are all capitals, or stand after = or :, and besides them the
 whole value, quoted or up to a blank, that is put behind a name with one of
-SECRET_WORDS, from NAMED_LEAST bytes on. Each is described by
-its length, its characters and how they follow each other (against the pairs of
-characters of the whole corpus), how much of it the corpus' frequent words
-cover, the path it came from and the words around it. A random forest, trained
-from labelled findings, tells secrets from identifiers, digests and the like.
+SECRET_WORDS, from NAMED_LEAST bytes on, and whole armoured blocks (as of
+private keys, but of certificates too). Each is described by its length, its
+characters and how they follow each other (against the pairs of characters of
+the whole corpus), how much of it the corpus' frequent words cover, the path it
+came from and the words around it. A random forest, trained from labelled
+findings, tells secrets from identifiers, digests and the like.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +49,7 @@ _VALUE = re.compile(rb"[:=>]{0,2}[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"
 _CLOSED = re.compile(rb"[\"'][\"',;)\]}>]*\Z")
 _PUTS = separators((0x3A, 0x3A), (0x3D, 0x3D))
 _PUNCT = separators((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_BEGIN, _LINES = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,60})-----"), re.compile(rb"[A-Za-z0-9+/=\s]*")
 _STARTS = re.compile(rb"AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-|npm_|pypi-|SG\.|rk_")
 
 
@@ -83,17 +87,25 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> Corpus:
 
 
 def _covered(text: bytes, corpus: Corpus) -> float:
-    """The share of the characters in frequent words of four letters and more, greedily from the left."""
-    hit = 0
-    for m in WORD.finditer(text):
-        run = LOWER[np.frombuffer(m.group(), np.uint8)]
-        at = 0
-        while at + 4 <= len(run):
-            ends = np.arange(min(len(run), at + 12), at + 3, -1)
-            known = [n for n in ends if corpus.frequent[int(span_hashes(run[at:n], np.array([0]), np.array([n - at]))[0] >> _U(48))]]
-            step = (known[0] - at) if known else 0
-            hit += step
-            at += step or 1
+    """The share of the characters in frequent words of four to twelve letters, the longest first, greedily from the left."""
+    raw = LOWER[np.frombuffer(text, np.uint8)]
+    s, e, _ = words(raw, np.array([0, len(raw)]), _LETTERS)
+    long = e - s > 3
+    s, e = s[long], e[long]
+    if not len(s):
+        return 0.0
+    at = np.arange(int((e - s - 3).sum())) - np.repeat(np.cumsum(e - s - 3) - (e - s - 3) - s, e - s - 3)  # where four letters fit
+    end = np.repeat(e, e - s - 3)
+    most = np.zeros(len(raw) + 1, dtype=np.int64)
+    for n in range(4, 13):
+        on = at[at + n <= end]
+        if len(on):
+            known = on[corpus.frequent[(span_hashes(raw, on, on + n) >> _U(48)).astype(np.int64)]]
+            most[known] = n
+    steps, hit, i = most.tolist(), 0, 0
+    while i < len(raw):
+        hit += steps[i]
+        i += steps[i] or 1
     return hit / len(text)
 
 
@@ -135,7 +147,7 @@ def features(text: bytes, before: bytes, after: bytes, path: str, corpus: Corpus
         _covered(text, corpus),
         float(sum(b in b"._-/+" for b in text)) / n,
         float(bool(_STARTS.match(text))),
-        float(max((len(x) for x in re.findall(rb"(.)\1*", text) and [m.group() for m in re.finditer(rb"(.)\1*", text)]), default=0)) / n,
+        float(np.diff(np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [n]])).max()) / n,  # the longest run of one character
         float(tail[-1:] in (b"=", b":")),
         float(quoted),
         float(any(w in SECRET_WORDS for w in near[-2:])),
@@ -149,6 +161,7 @@ def features(text: bytes, before: bytes, after: bytes, path: str, corpus: Corpus
         float(tail[-1:] in (b"=", b":") and _names_secret(tail[:-1])),
         float(before[-1:] in (b" ", b"\t")),
         float(any(x in text for x in (b"(", b"${", b"{{", b"<", b"["))),
+        float(text.startswith(b"-----BEGIN ")) + float(b"PRIVATE KEY" in text[:60]),
     ]
 
 
@@ -213,6 +226,8 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
     word = lambda: "".join(syl() for _ in range(r.randint(1, 5)))
     text = lambda k: " ".join(word() for _ in range(k))
     marks = "!@#$%^&*~?"
+    line = lambda k: some(low + up + dig + "+/", k)
+    block = lambda name: "\n".join([f"-----BEGIN {name}-----", *(line(64) for _ in range(r.randint(2, 12))), line(r.randint(4, 60)) + "=", f"-----END {name}-----"])
     said_of = lambda: r.choice(["access", "login", "session", "auth", "key", "token", "secret", "password", "pass", "private", "api"])
     plain = ["src/app.py", "README.md", "src3", "notes.txt", "web/page.html", "main.go"]
     paths = [*plain, "config/prod.env", "settings.yaml", "deploy/secrets.yml"]
@@ -222,7 +237,7 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
         put = r.choice(["=", " = ", ": ", ":", '="', ' = "', '": "'])
         lead, tail = text(r.randint(0, 4)), text(r.randint(0, 4))
         if i % 2:
-            kind = r.randrange(13)
+            kind = r.randrange(14)
             value = [
                 lambda: r.choice(["AKIA", "ASIA"]) + some(up + "234567" if r.random() < 0.5 else up + dig, 16),
                 lambda: r.choice(["ghp_", "gho_", "ghs_"]) + some(low + up + dig, 36),
@@ -237,12 +252,13 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
                 lambda: r.choice([str, str.capitalize])(word()[: r.randint(4, 9)]) + some(dig, r.randint(1, 4)),
                 lambda: r.choice([str, str.capitalize])(word()[:8]) + some(marks, 1) + r.choice([word()[:6], some(low + dig, 3)]) + some(marks, r.randint(0, 1)) + some(dig, r.randint(1, 4)),
                 lambda: some(low + up + dig + marks, r.randint(8, 20)),
+                lambda: block(r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])),
             ][kind]()
-            bare = kind < 6 and r.random() < 0.6
+            bare = kind == 13 or (kind < 6 and r.random() < 0.6)
             before = f"{lead} " if bare else f"{lead} {name}{put}"
             out.append((before, value, ('" ' if put.endswith('"') and not bare else " ") + tail, r.choice(paths), 1))
             continue
-        kind = r.randrange(18)
+        kind = r.randrange(19)
         said = r.choice(["commit", "sha256", "md5", "checksum", "digest", "integrity", "rev", "hash", "etag", "uuid", "id"])
         before, value = [
             lambda: (f"{lead} {said} ", hexa(r.choice([32, 40, 64]))),
@@ -263,14 +279,17 @@ def made_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, st
             lambda: (f"{lead} {said_of()}{put}", r.choice(["true", "false", "null", "None", "none", "required", "optional", "string", "bytes", "hidden", "changeme", "example1", "xxxxxxxx", "********", "test1234", "<password>", "<your-token>", "${SECRET}", "{{token}}", "[secret]"])),
             lambda: (f"{lead} {said_of()}{r.choice([' = ', '=', ': '])}", r.choice([f"get_{word()}()", f"self.{word()}", f"os.environ['{word().upper()}']", f"{word()}.{word()}({word()})", f"process.env.{word().upper()}", f"${{{word().upper()}}}", f"${word().upper()}", f"Optional[{word()}]"])),
             lambda: (f"{lead} {said_of()}{r.choice([': ', '='])}", r.choice([f"20{some(dig, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 23)}:{r.randint(10, 59)}", f"https://{word()}.org/{word()}", f"/{word()}/{word()}", f"{word()}@example.com"])),
+            lambda: (f"{lead} ", block(r.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE", "PGP PUBLIC KEY BLOCK"]))),
         ][kind]()
         out.append((before, value, f" {tail}", r.choice([*plain, "tests/test_x.py", "docs/guide.md", "package-lock.json"]), 0))
     return out
 
 
-def train(corpus: Corpus, findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    """A forest from labelled findings, at most MAX_FINDINGS of them."""
-    rows = (findings if findings is not None else made_findings())[:MAX_FINDINGS]
+def train(corpus: Corpus, findings: list[tuple[str, str, str, str, int]] | None = None, max_findings: int = MAX_FINDINGS) -> Forest:
+    """A forest from labelled findings (before, candidate, after, path, label), at most max_findings of them, chosen by a hash of all they say."""
+    rows = findings if findings is not None else made_findings()
+    if len(rows) > max_findings:
+        rows = sorted(rows, key=lambda x: zlib.crc32(repr(x).encode()))[:max_findings]
     x = np.array([features(c.encode(), b.encode(), a.encode(), p, corpus) for b, c, a, p, _ in rows])
     return Forest(x, np.array([r[4] for r in rows], dtype=float))
 
@@ -299,6 +318,21 @@ def named_values(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int,
             yield p + 1 + s, past, t
 
 
+def key_blocks(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Start, end and text of each armoured block: up to its END line or, without one, to the end of its lines."""
+    text = raw.tobytes()
+    if text.find(b"-----BEGIN ") < 0:
+        return
+    begins = [(m.start(), m.end(), m[1]) for m in _BEGIN.finditer(text)]
+    ends = {name: [(m.start(), m.end()) for m in re.finditer(rb"-----END " + re.escape(name) + rb"-----", text)] for name in {b[2] for b in begins}}
+    for k, (s, e, name) in enumerate(begins):
+        t = int(np.searchsorted(offs, s, "right")) - 1
+        stop = min(int(offs[t + 1]), begins[k + 1][0] if k + 1 < len(begins) else len(text))
+        i = bisect_left(ends[name], (e,))
+        past = ends[name][i][1] if i < len(ends[name]) else stop + 1
+        yield s, past if past <= stop else _LINES.match(text, e, stop).end(), t
+
+
 def candidates(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and texts of all candidates by their start, longer ones first; a named value may hold others."""
     s, e, first = words(raw, offs, _JOINT)
@@ -311,7 +345,9 @@ def candidates(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         free = ((lead == 32) | (lead == 34) | (lead == 39)) & (s - back >= offs[of])
         lead[free] = raw[at[free]]
     on = (size >= LEAST) & ((digits[e] > digits[s]) | (capitals[e] - capitals[s] == size) | (lead == 0x3D) | (lead == 0x3A))
-    more = np.array(list(named_values(raw, offs)), dtype=np.int64).reshape(-1, 3).T
+    blocks = np.array([(0, 0, 0), *key_blocks(raw, offs)], dtype=np.int64).T
+    on &= e > blocks[1][np.searchsorted(blocks[0], s, "right") - 1]  # a block stands for its lines
+    more = np.concatenate([np.array(list(named_values(raw, offs)), dtype=np.int64).reshape(-1, 3).T, blocks[:, 1:]], axis=1)
     s, e, of = (np.concatenate([x[on], y]) for x, y in zip((s, e, of), more, strict=True))
     order = np.lexsort((-e, s))
     order = order[np.append(True, (s[order][1:] != s[order][:-1]) | (e[order][1:] != e[order][:-1]))] if len(order) else order
@@ -338,7 +374,8 @@ def findings(docs: DataFrame, corpus: Corpus, forest: Forest, id_col: str = "doc
     """One row per row of docs: id_col, n_candidates, findings (first and past byte, score).
 
     Null and empty texts have none. Repeated rows are judged alike; null ids
-    stay. path_col may be missing or null.
+    stay; an empty table gives no rows. path_col may be missing or null. Other
+    columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
