@@ -211,6 +211,25 @@ class _Flow:
         return "".join(self.out)
 
 
+def _spread(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Cells (text, columns, rows) as (text, columns) in every row, with empty cells where one from above reaches down."""
+    held: dict[int, int] = {}  # columns that a cell above covers, and for how many rows yet
+    out = []
+    for row in rows:
+        line, col, more = [], 0, {}
+        for text, span, down in row:
+            while held.get(col):
+                line.append(("", 1))
+                col += 1
+            line.append((text, span))
+            if down > 1:
+                more |= dict.fromkeys(range(col, col + span), down - 1)
+            col += span
+        held = {c: n - 1 for c, n in held.items() if n > 1} | more
+        out.append(line)
+    return out
+
+
 def _table(rows: list[list[tuple[str, int]]]) -> str:
     """Cells in columns: each as wide as its widest line, two blanks between."""
     widths: dict[int, int] = {}
@@ -242,19 +261,22 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     flows: list[_Flow] = [_Flow()]
-    tables: list[tuple[list[list[tuple[str, int]]], list[str]]] = []
+    tables: list[tuple[list[list[tuple[str, int, int]]], list[str]]] = []
     lists: list[list] = []  # [ordered, next number]
     frames: list[tuple[str, object]] = []  # what each open element needs at its end
     shown: list[bool] = [True]
     inside: list[list] = []  # of each open element in svg or math: its name, its parts so far, whether svg text shows
     dark = pre = 0
+    begun = False  # right after <pre>, where a line end does not count
     for kind, name, attrs in events(page):
         flow = flows[-1]
         if kind == "text":
             if dark or not shown[-1] or (inside and not inside[-1][2]):
                 continue
             if pre:
-                parts = name.replace("\r\n", "\n").split("\n")
+                name = name.replace("\r\n", "\n")
+                parts = (name[1:] if begun and name[:1] == "\n" else name).split("\n")
+                begun = False
                 for i, part in enumerate(parts):
                     if i:
                         flow.line()
@@ -263,6 +285,7 @@ def render(page: str | None) -> str | None:
             else:
                 flow.text(name)
             continue
+        begun = False
         if kind == "open":
             if dark or _hidden(name, attrs) or (inside and name in _FOREIGN_UNSEEN):
                 dark += 1
@@ -324,7 +347,8 @@ def render(page: str | None) -> str | None:
                 if not tables[-1][0]:
                     tables[-1][0].append([])
                 flows.append(_Flow())
-                frame = ("cell", max(1, _number(attrs.get("colspan"), 1, 1000)))
+                down = _number(attrs.get("rowspan"), 1, 1 << 16)
+                frame = ("cell", (max(1, _number(attrs.get("colspan"), 1, 1000)), 1 << 16 if down == 0 else max(1, down)))  # 0: all rows below
             elif name == "caption" and tables:
                 flows.append(_Flow())
                 frame = ("caption", None)
@@ -334,7 +358,7 @@ def render(page: str | None) -> str | None:
             elif name in _BLOCKS:
                 flow.block(_BLOCKS[name])
                 if name in ("pre", "xmp"):
-                    pre += 1
+                    pre, begun = pre + 1, True
                     frame = ("pre", None)
                 else:
                     frame = ("block", _BLOCKS[name])
@@ -364,12 +388,12 @@ def render(page: str | None) -> str | None:
                 flows[-1].put(value + text.replace("\n", "\n" + " " * len(value)))
             flows[-1].block(1)
         elif end == "cell":
-            tables[-1][0][-1].append((flows.pop().done(), value))
+            tables[-1][0][-1].append((flows.pop().done(), *value))
         elif end == "caption":
             tables[-1][1].append(flows.pop().done())
         elif end == "table":
             rows, captions = tables.pop()
-            whole = "\n".join([*filter(None, captions), *filter(None, [_table([r for r in rows if any(t for t, _ in r)])])])
+            whole = "\n".join([*filter(None, captions), *filter(None, [_table([r for r in _spread(rows) if any(t for t, _ in r)])])])
             if whole:
                 flow.block(2)
                 flow.put(whole)
