@@ -25,9 +25,10 @@ _U = np.uint64
 _WORDS = separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
-BITS, MAX_ROWS, GRAM = 20, 6000, 5
-#: Words and runs enter if they are in so many training rows at least, and their share of positive rows is so many deviations off.
-LEAST_DOCS, LEAST_Z = 4, 6.0
+BITS, MAX_ROWS, MAX_BYTES, GRAM = 20, 6000, 32 << 20, 5
+#: Words and runs enter if they are in so many training rows at least, and their share of positive rows is further off than
+#: chance takes the furthest of as many (the square root of twice the logarithm of their count, in deviations).
+LEAST_DOCS = 3
 
 
 def _buckets(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +87,21 @@ class Model:
         return -np.expm1(-evidence), 1 / (1 + np.exp(-z)), first, cuts, starts, ends
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """A model of the labelled documents, from about max_rows of them, chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """A model of the labelled documents, from about max_rows of them with about max_bytes of text, chosen by a hash of their id.
 
-    Labels join by id; rows without a label or with a null id are not used. No
-    row at all gives a model that scores everything 0.
+    Labels join by id; rows without a label or with a null id are not used,
+    repeated rows count as often as they occur. The driver gets hashed words of
+    the chosen rows, some ten bytes a byte of text, and no texts. No row at all
+    (an empty table, no labels) gives a model that scores everything 0.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    n = lab.count()
-    if n > max_rows:
-        lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(max_rows / n * (1 << 32)))
-    src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).join(lab, "id").select("text", "y")
+    src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    n, size = src.join(lab, "id").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, max_rows / max(n, 1), max_bytes / max(size, 1))
+    if share < 1:
+        lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    src = src.join(lab, "id").select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +130,8 @@ def _train(w: list[np.ndarray], s: list[np.ndarray], y: np.ndarray, steps: int,
         df[some] += 1
         hits[some] += label
     off = np.abs(hits - df * mean) / np.sqrt(np.maximum(df * mean * (1 - mean), 1e-9))
-    used = np.flatnonzero((df >= LEAST_DOCS) & (off >= LEAST_Z))
+    often = df >= LEAST_DOCS
+    used = np.flatnonzero(often & (off >= np.sqrt(2 * np.log(max(2, often.sum())))))
     number = np.full(1 << BITS, len(used), dtype=np.int64)  # the last weight stays zero
     number[used] = np.arange(len(used))
     sizes = np.concatenate([x if len(x) else np.zeros(1, np.int32) for x in s]).astype(np.int64)
@@ -155,7 +161,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id_col, score, offending (sentences that score at least locate, in order).
 
     Null and texts without words count as one empty sentence. Only the text
-    tells the score: repeated rows score alike, other columns are ignored.
+    tells the score: repeated rows score alike, null ids stay, an empty table
+    gives no rows, other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     kind = docs.schema[id_col].dataType.simpleString()
