@@ -182,14 +182,14 @@ class PieceTable:
 class Encoder:
     """Texts to ids: pre-tokenising, the table, and a check against the input's bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[str], list[int]], tokens: Sequence[bytes]) -> None:
-        """encode: ids of single pieces; whole: ids of a text, used where it holds characters of unsure class."""
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], whole: Callable[[str], list[int]], tokens: Sequence[bytes], special: Sequence[bytes] = ()) -> None:
+        """encode: ids of single pieces; whole: ids of a text, used where it holds characters of unsure class or a special token's string."""
         self.table, self.spelling = PieceTable(encode), Spelling(tokens)
-        self._encode, self._whole = encode, whole
+        self._encode, self._whole, self._special = encode, whole, special
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's ids start (one more at the end)."""
-        if unsure(data):
+        if unsure(data) or (self._special and any(x in data.tobytes() for x in self._special)):
             each = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             return np.array([i for x in each for i in x], dtype=np.int32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
         starts = piece_starts(data, offs)

@@ -37,11 +37,11 @@ def _codec(path: str) -> tuple[Encoder, int]:
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True  # their strings in a text are ordinary text
     letters = _byte_letters()
     size = tk.get_vocab_size(with_added_tokens=True)
     names = [tk.id_to_token(i) or "" for i in range(size)]
     strings = [bytes(letters[c] for c in x) if all(c in letters for c in x) else b"" for x in names]
+
     def some(pieces: list[bytes]) -> list[list[int]]:
         """A few thousand at a time, as the library's results are large."""
         return [x.ids for i in range(0, len(pieces), 2048) for x in tk.encode_batch_fast([p.decode() for p in pieces[i : i + 2048]], add_special_tokens=False)]
@@ -50,6 +50,7 @@ def _codec(path: str) -> tuple[Encoder, int]:
         some,
         lambda t: tk.encode(t, add_special_tokens=False).ids,
         strings,
+        [t.content.encode() for t in tk.get_added_tokens_decoder().values()],  # in a text they are themselves, as the library has it
     ), size
 
 
