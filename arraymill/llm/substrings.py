@@ -191,7 +191,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _repeats(rows: DataFrame, docs: DataFrame) -> DataFrame:
     spark, src = rows.sparkSession, rows.where("id is not null and text is not null")
     plan = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    buckets = int(min(1 << 20, max(1 << 10, int(str(plan)) >> 20)))
+    buckets = min(1 << 20, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(plan)) >> 20))
     path = scratch(spark, "anchors")
     anchors = _written(_exchange(_emit(src, _anchors, buckets, False), False), path)
     near = anchors.groupBy("id", "t").agg(F.collect_set("at").alias("near"))  # bounded by the length of one text
