@@ -183,6 +183,45 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(5), toxicity.fit(d.limit(0).drop("toxic"), d.select("doc_id", "toxic").limit(0))).where("score > 1e-9").count() == 0
 
 
+def test_toxicity_scores(spark, docs, none):
+    """Scores against a noisy-or over sentences written out; the model may be any."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(np.where(rng.random(1 << toxicity.BITS) < 0.3, rng.normal(size=1 << toxicity.BITS) * 2, 0), -3.0)
+    extra = [(700, "One. Two! three? four\nfive.. six"), (701, "x" * 30000 + ". y"), (None, "a.b")]
+    d = docs.union(spark.createDataFrame([(k, t, "", 0) for k, t in extra], FORM))
+
+    def weight(word):
+        raw = np.frombuffer(lowered(word).encode(), np.uint8)
+        own = toxicity._buckets(raw, np.array([0]), np.array([len(raw)]))[0]
+        assert len(own) == 1 + max(0, len(raw) - toxicity.GRAM + 1)
+        return model.weights[own].sum()
+
+    def brute(t):
+        z = []
+        for s in re.split(r"[.!?\n]", t or ""):
+            w = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", s)
+            if w:
+                z.append(model.bias + sum(map(weight, w)))
+        return 1 - np.prod([1 / (1 + np.exp(np.clip(x, -60, 60))) for x in z or [model.bias]])
+
+    got = sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score(d, model).collect())
+    want = sorted((str(r["doc_id"]), brute(r["text"])) for r in d.collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
+    assert toxicity.score(none, model).count() == 0 and toxicity.without_toxic(none, model).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    d = spark.createDataFrame([(k, f"word{k % 7} " * 50, k % 2) for k in range(400)], "doc_id long, text string, toxic int")
+    seen = []
+    train, toxicity._train = toxicity._train, lambda w, *a: seen.append(sum(map(len, w))) or toxicity.Model(np.zeros(1 << toxicity.BITS), -60.0)
+    try:
+        for most in (1 << 30, 30_000):
+            toxicity.fit(d.drop("toxic"), d.select("doc_id", "toxic"), max_bytes=most)
+    finally:
+        toxicity._train = train
+    assert 0 < seen[1] < seen[0] / 3
+
+
 def test_licenses(spark, docs, none):
     texts = ["CC BY cc by CC-BY 4.0", None, "", "All rights  reserved. all Rights reserved", "cc\xa0by", "Licensed under the Apache License, Version 2.0.", "released under the MIT License", "GNU General Public License, version 3 general public license", "Kelvin cc by"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -198,6 +237,41 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
+def test_licenses_at_random(spark):
+    """Texts made of the words of the templates, against brute force, and 300 whole licences as templates."""
+    rng = random.Random(31)
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()})
+    texts = [" ".join(rng.choice(vocabulary) if rng.random() < 0.5 else rng.choice([t for _, t, _ in licenses.TEMPLATES] + list(licenses.PHRASES)) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    for k in range(0, 150, 3):  # some words of a template changed
+        w = rng.choice(licenses.TEMPLATES)[1].split()
+        texts[k] += " " + " ".join(rng.choice(vocabulary) if rng.random() < 0.2 else x for x in w)
+    body = [" ".join(f"{rng.choice('bcdfg')}{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)]
+    whole = tuple((f"licence{k}", b, ((0, 6), (150, 5))) for k, b in enumerate(body))
+    texts += [f"see {body[7]} and {body[200]}.", body[9].replace(" ", "\n", 50).upper(), " ".join(body[11].split()[:199]), "word " * 60_000 + body[5], None, ""]
+    texts += texts[:2]
+
+    def brute(t, templates):
+        w, out = ALNUM.findall(lowered(t)), []
+        for label, text, keys in templates:
+            x = text.split()
+            for k in range(len(w) - len(x) + 1):
+                if all(w[k + a : k + a + n] == x[a : a + n] for a, n in keys) and sum(p == q for p, q in zip(w[k:], x)) >= np.ceil(licenses.AGREE * len(x) - 1e-9):
+                    out.append((label, k))
+        return sorted(out)
+
+    d = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], "doc_id long, text string, n_words string, places int")
+    for templates in (licenses.TEMPLATES, whole):
+        got = {r["doc_id"]: sorted((m["label"], m["first"]) for m in r["matches"] or []) for r in licenses.scan(d, templates=templates).collect()}
+        assert got == {k: brute(t, templates) for k, t in enumerate(texts)} and any(got.values())
+
+
+def test_license_report_of_edges(spark, none):
+    d = spark.createDataFrame([(None, None), (1, ""), (1, "cc by"), (1, "cc by")], "doc_id long, text string")
+    got = sorted(map(str, licenses.report(licenses.scan(d)).select("doc_id", "n_base", "first_word", "labels", "score").collect()))
+    assert len(got) == 4 and got[1] == got[2] == "Row(doc_id=1, n_base=1, first_word=0, labels='cc-by', score=0.5)" and got[3] == "Row(doc_id=None, n_base=0, first_word=None, labels='', score=0.0)"
+    assert licenses.report(licenses.scan(none)).count() == 0
+
+
 def test_pieces_at_random(enc):
     rng = random.Random(9)
     alphabet = ["a", "s", "re", "ll", "'", "'s", " ", "  ", "\n", "1", "23", "!", "é", " ", "　", "日本", "😀", "́", "\x85", "S", "<|endoftext|>", "Ⅷ"]
@@ -236,11 +310,18 @@ def test_elias_fano():
 
 
 def test_token_files(spark, docs, rows, none, enc, tmp_path):
+    """Against the tokenizers library, a special token's string in a text included."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    more = [(500, "one<|endoftext|>two"), (501, "<|endoftext|"), (502, "日本語 é\u0301 " * 40), (503, " \n\n  x\t")]
+    rows = [*rows, *more]
+    docs = docs.union(spark.createDataFrame([(d, t, "", 0) for d, t in more], FORM))
     token_files.write(docs, str(tmp_path / "t"), block_ids=500)
     got = token_files.checksums(token_files.read(spark, str(tmp_path / "t"))).orderBy("start").collect()
     at, want = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
-        ids = [*enc.encode_ordinary(t or ""), 0]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in got] == want
@@ -282,22 +363,54 @@ def test_html_foreign_and_visibility():
     assert r("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x") == "x"
 
 
+def test_html_tables_and_pre():
+    r = html_text.render
+    assert r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert r("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "a  b   c\nd      e\nf      g"
+    assert r("<pre>\nx\n\n y</pre>") == "x\n\n y" and r("a<pre>\n\nx</pre>") == "a\n\n\nx"
+    assert r("<pre><b>a</b>\nb</pre>") == "a\nb" and r("<p style='display:\n none'>no</p>a") == "a"
+    assert r("<table><tr>" + "<td>x" * 3000 + "</table>").count("x") == 3000
+
+
+def test_html_at_random():
+    """Pages of plain blocks and inline elements, against the words put in: those outside hidden elements, in order, and a line for each block."""
+    rng = random.Random(13)
+    for _ in range(200):
+        page, want = [], []
+        for k in range(rng.randint(1, 12)):
+            w, tag, hide = [f"w{k}x{i}" for i in range(rng.randint(1, 5))], rng.choice(["p", "div", "h2", "section"]), rng.random() < 0.3
+            inline = [f"<{t}>{x}</{t}>" if t else x for x, t in zip(w, rng.choices(["b", "i", "span", "a", ""], k=5))]
+            page.append(f"<{tag}{' hidden' if hide else ''}>{rng.choice([' ', chr(10), '  '])}{' '.join(inline)}{rng.choice(['', ' '])}" + ("" if tag == "p" and rng.random() < 0.5 else f"</{tag}>"))
+            want += [] if hide else [" ".join(w)]
+        assert [x for x in html_text.render("".join(page)).split("\n") if x] == want
+
+
+def test_html_edges(spark, none):
+    d = spark.createDataFrame([(1, "u", "<p>" + "long text " * 200_000, "clash"), (2, "u", "", "clash")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(d).collect()}
+    assert len(got[1]) == 200_000 * 10 - 1 and got[2] == ""
+    assert html_text.extract(d.limit(0)).count() == 0
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted(map(str, html_text.extract(d).collect())) == sorted(["Row(page_id=1, url='u', text='x')"] * 2 + ["Row(page_id=None, url=None, text=None)"])
 
 
-@pytest.mark.parametrize("band", [4096, 40])
-def test_embeddings(spark, band):
+@pytest.mark.parametrize(("kind", "band"), [("double", 48 << 20), ("double", 2000), ("float", 2000)])
+def test_embeddings(spark, kind, band):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(20, 16))
     v = [(base[k % 20] + rng.normal(size=16) * 0.25).tolist() for k in range(150)] + [[0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, None, [], (base[0] * 3).tolist(), (base[0] * 3).tolist()]
+    if kind == "float":
+        v = [x and [y if y is None else float(np.float32(y)) for y in x] for x in v]
     ok = [x is not None and len(x) > 0 and all(y is not None and np.isfinite(y) for y in x) and any(x) for x in v]
     unit = [np.array(x) / np.linalg.norm(x) if good else None for x, good in zip(v, ok)]
     linked = lambda i, j: i != j and ok[i] and ok[j] and float(unit[i] @ unit[j]) >= 0.9
     group = grouped(list(range(len(v))), linked)
     want = [(i, sum(linked(i, j) for j in range(len(v))), group[i], group[i] == i) for i in range(len(v))]
-    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>"), band=band)
+    d = spark.createDataFrame([(k, x, "clash", 1, b"") for k, x in enumerate(v)], f"vec_id long, embedding array<{kind}>, id string, copies int, vec binary")
+    got = embeddings.near_duplicates(d, band_bytes=band)
     assert sorted(map(tuple, got.collect())) == want
 
 
@@ -425,6 +538,60 @@ def test_short_secrets_behind_names(spark):
     assert [x for k, x in enumerate(plain, len(lines)) if x not in out[k]] == []
 
 
+def test_secrets_recall(spark):
+    """Of secrets of many shapes at least nine in ten are found whole, key blocks among them; certificates and plain words stay."""
+    rng = random.Random(26)
+    some = lambda n, c="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(c) for _ in range(n))
+    armour = lambda name: f"-----BEGIN {name}-----\n" + "".join(some(64) + "\n" for _ in range(6)) + f"{some(20)}==\n-----END {name}-----"
+    shapes = [
+        lambda: ("export AWS_SECRET_ACCESS_KEY=", some(40)),
+        lambda: ("", "AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")),
+        lambda: ("password: ", some(9)),
+        lambda: ("db_password = '", some(6) + "!" + some(3)),
+        lambda: ("Authorization token=", "ghp_" + some(36)),
+        lambda: ("", armour("RSA PRIVATE KEY")),
+        lambda: ("key file ", armour("OPENSSH PRIVATE KEY")),
+    ]
+    made, value, clean = [], {}, set()
+    for k in range(210):
+        lead, v = shapes[k % 7]()
+        value[k] = v
+        made.append((k, f"{prose(rng, 15)} {lead}{v}{chr(39) if lead.endswith(chr(39)) else ''} {prose(rng, 15)}", "src/app.py", 1))
+    for k in range(300, 340):
+        clean.add(k)
+        made.append((k, f"{prose(rng, 15)} {armour(rng.choice(['CERTIFICATE', 'PUBLIC KEY'])) if k % 2 else 'the password: required'} {prose(rng, 15)}", "README.md", 1))
+    d = spark.createDataFrame(made + made[:3], "doc_id long, text string, source string, findings int")
+    corpus = secrets.corpus_counts(d)
+    text = {k: t for k, t, *_ in made}
+    rows = secrets.findings(d, corpus, secrets.train(corpus)).collect()
+    found = {r["doc_id"]: [text[r["doc_id"]].encode()[f["first"] : f["past"]].decode() for f in r["findings"]] for r in rows}
+    by = [np.mean([any(value[k] in f for f in found[k]) for k in value if k % 7 == s]) for s in range(7)]
+    assert len(rows) == len(made) + 3 and np.mean(by) >= 0.9 and min(by) >= 0.7, by
+    assert np.mean([bool(found[k]) for k in clean]) <= 0.1
+
+
+def test_a_long_run_is_quick_and_sampling_is_by_hash():
+    import time
+
+    corpus = secrets.Corpus(np.full((256, 256), -5.5), np.random.default_rng(1).random(1 << 16) < 0.1)
+    raw = np.frombuffer(("AbC9" * 250_000).encode(), np.uint8)
+    began = time.perf_counter()
+    secrets._found(raw, np.array([0, len(raw)]), [""], corpus, secrets.train(corpus, secrets.made_findings(200)), 0.5)
+    assert time.perf_counter() - began < 20
+    rows = secrets.made_findings(600)
+    a, b = (secrets.train(corpus, x, max_findings=100) for x in (rows, rows[::-1]))
+    assert str(a.trees) == str(b.trees)
+
+
+def test_covered():
+    frequent = np.zeros(1 << 16, bool)
+    for w in ("word", "wordy", "access"):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        frequent[int(secrets.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(48))] = True
+    corpus = secrets.Corpus(np.zeros((256, 256)), frequent)
+    assert [secrets._covered(t, corpus) for t in (b"xxWORDYaccess1", b"wor1d", b"", b"9wordword")[:2]] == [11 / 14, 0.0] and secrets._covered(b"9wordword", corpus) == 8 / 9
+
+
 def test_forest_beats_chance_on_held_out():
     corpus = secrets.Corpus(np.full((256, 256), -5.5), np.zeros(1 << 16, bool))
     rows = secrets.made_findings(1500, seed=1)
@@ -434,11 +601,58 @@ def test_forest_beats_chance_on_held_out():
     assert np.mean((forest.predict(x) >= 0.5) == [r[4] for r in other]) > 0.9
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, enc):
+    """Each stage against brute force on what the one before kept; nulls, empties, repeats and odd ids among the documents."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = docs.orderBy("doc_id").first().asDict()
+    odd = [(900001, None), (900002, ""), (900003, ""), (None, "lone words here"), (None, None), (first["doc_id"], first["text"]), (900004, first["text"]), (900005, "password=hunter2x9 is all"), (900006, "x " * 30000)]
+    more = spark.createDataFrame([first | {"doc_id": d, "text": t, "n_chars": len(t or "")} for d, t in odd], docs.schema)
+    now = docs.union(more)
+    bench = {str(r["item_id"]): ALNUM.findall(lowered(r["text"])) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in bench.values() if w for k in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(g) for g in windows}
+    whole = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole(now)
+        out = spark.createDataFrame(stage(spark, now, folder).collect(), None if name == "byte_bpe" else docs.schema)
+        assert name == "byte_bpe" or out.columns == docs.columns
+        if name == "toxicity":
+            labels = spark.read.parquet(f"{folder}/labels.parquet").where(~toxicity.held_out())
+            score = toxicity.score(now, toxicity.fit(now, labels)).select("doc_id", "score").collect()
+            assert sorted(str(d) for d, _ in whole(out)) == sorted(str(r["doc_id"]) for r in score if r["score"] < 0.5)
+        elif name == "near_duplicates":
+            known = sorted({d: t for d, t in before if d is not None}.items())
+            s = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := BLANK.findall(lowered(t))) else frozenset() for _, t in known]
+            group = grouped([d for d, _ in known], lambda i, j: s[i] == s[j] or (s[i] and s[j] and len(s[i] & s[j]) * 5 >= 4 * len(s[i] | s[j])))
+            assert whole(out) == sorted([x for x in known if x[0] in set(group)] + [x for x in before if x[0] is None], key=str)
+        elif name == "decontamination":
+            hit = lambda t: any(tuple(w[k : k + n]) in windows for w in [ALNUM.findall(lowered(t))] for n in sizes for k in range(len(w) - n + 1))
+            assert whole(out) == [x for x in before if not hit(x[1])] and len(whole(out)) < len(before)
+        elif name == "secrets":
+            corpus = secrets.corpus_counts(now)
+            rows = now.select("doc_id", "text").collect()
+            spans = {(r["doc_id"], r["n_candidates"]): r["findings"] for r in secrets.findings(now, corpus, secrets.train(corpus)).collect()}
+            after = {d: t for d, t in whole(out)}
+            assert len(whole(out)) == len(rows) and after[900005] == "password=[secret] is all"
+            for (d, _), fs in spans.items():
+                if d is not None and not fs:
+                    assert after[d] == next(r["text"] for r in rows if r["doc_id"] == d)
+            assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
+        else:
+            ids = {d: enc.encode_ordinary(t or "") for d, t in before}
+            want = sorted([(d, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (d, t), x in zip(before, (enc.encode_ordinary(t or "") for _, t in before))], key=str)
+            assert sorted(map(tuple, out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str) == want and len(ids) > 50
+        now = out
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_pipeline_run(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 100 < out.count() < 200 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(20), "/root/testdata/sf0.001").columns == docs.columns, name
