@@ -10,7 +10,8 @@ their summaries are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,41 @@ def running_total(df: DataFrame, order: list[str | Column], value: str, name: st
     return scan(df, order, F.col(value), name)
 
 
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equality of keys in which null is a value."""
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)))
+
+
+def scan_within(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
+    """df with a running sum of value (not null) within each group of keys; a group may be larger than a task.
+
+    One scan over keys and order; what came before a group is the least sum
+    before any of its rows, which is combined before it is shuffled.
+    """
+    held = scan(df.withColumn("__w", value), [*keys, *order], F.col("__w"), "__all")
+    starts = held.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(F.col("__all") - F.col("__w")).alias("__s"))
+    both = held.join(starts, same_keys(keys, [f"__k{i}" for i in range(len(keys))]))
+    return both.withColumn(name, F.col("__all") - F.col("__s")).select(*df.columns, name)
+
+
+def positions_within(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "pos") -> DataFrame:
+    """df with positions from 0 within each group of keys, in a total order; a group may be larger than a task."""
+    return scan_within(df, keys, order, F.lit(1).cast("bigint"), name).withColumn(name, F.col(name) - 1)
+
+
+def in_blocks(df: DataFrame, order: list[str | Column], f: Callable[[DataFrame, list[str]], DataFrame], back: int = 0, ahead: int = 0, block: int = 1 << 16) -> DataFrame:
+    """f over one ordered vector without keys, in blocks of rows with the rows within reach of each.
+
+    f gets rows and the keys that tell the blocks apart, and must keep the rows
+    and all their columns; what it gives for rows of other blocks is left out.
+    The first and last block end where the vector does.
+    """
+    held = row_numbers(df, order, "__i")
+    near = F.sequence(F.greatest(F.floor((F.col("__i") - ahead) / block), F.lit(0)), F.floor((F.col("__i") + back) / block))
+    done = f(held.withColumn("__b", F.explode(near)), ["__b"])
+    return done.where(F.floor(F.col("__i") / block) == F.col("__b")).drop("__i", "__b")
+
+
 def row_numbers(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
     """df with positions from 0 in a total order."""
     return scan(df, order, F.lit(1).cast("bigint"), name).withColumn(name, F.col(name) - 1)

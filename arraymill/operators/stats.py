@@ -1,9 +1,11 @@
 """Descriptive statistics, correlations and regression as aggregate columns.
 
 NaN strategy of every aggregate: "remove" (default) leaves NaN out, "keep" lets
-it through, "exception" fails on it. All are plain aggregates, so a group's
-rows are combined before the shuffle; only exact percentiles, medians and modes
-see the values of a group together.
+it through, "exception" fails on it. Those of columns are plain aggregates, so a
+group's rows are combined before the shuffle. Order statistics of groups of any
+size are functions of DataFrames: they rank the distinct values in one ordered
+scan (quantiles, medians, outliers, describe). median(), percentiles() and
+quartiles() of a column gather a group's values and are for small groups.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def moment(x: Column, order: int, nan: str = "remove") -> Column:
 
 
 def median(x: Column, nan: str = "remove") -> Column:
-    """The sorted value at half the count, rounded down (the upper one of an even count)."""
+    """The sorted value at half the count, rounded down (the upper one of an even count), of groups that fit in a task."""
     s = F.sort_array(F.collect_list(values(x, nan)))
     return _else_nan(F.get(s, F.floor(F.size(s) / 2).cast("int")))
 
@@ -123,31 +125,69 @@ _KINDS: dict[str, tuple[Callable[[float, Column], Column], str]] = {
     "r7": (lambda p, n: (n - 1) * p + 1, "lerp"),
     "r8": (lambda p, n: (n + 1 / 3) * p + 1 / 3, "lerp"),
     "r9": (lambda p, n: (n + 0.25) * p + 0.375, "lerp"),
+    "upper": (lambda p, n: F.floor(n * p) + 1, "at"),
 }
 
 
-def _clamped(s: Column, k: Column) -> Column:
-    return F.get(s, F.greatest(F.lit(0), F.least(k.cast("int"), F.size(s)) - 1).cast("int"))
-
-
-def percentile_of(s: Column, p: float, kind: str = "legacy") -> Column:
-    """The percentile (0 to 100) of a sorted array."""
+def _percentile(p: float, kind: str, n: Column, value: Callable[[Column], Column]) -> Column:
+    """The percentile (0 to 100) of n values; value gives the one at a place from 1, clamped."""
     place, how = _KINDS[kind]
-    pos = place(p / 100, F.size(s).cast("double"))
+    pos = place(p / 100, n.cast("double"))
     low = F.floor(pos)
     if how == "up":
-        value = _clamped(s, F.ceil(pos))
+        out = value(F.ceil(pos))
     elif how == "mid":
-        value = (_clamped(s, F.ceil(pos)) + _clamped(s, low + 1)) / 2
+        out = (value(F.ceil(pos)) + value(low + 1)) / 2
     elif how == "at":
-        value = _clamped(s, pos)
+        out = value(pos)
     else:
-        a = _clamped(s, low)
-        value = a + (pos - low) * (_clamped(s, low + 1) - a)
-    return F.when(F.size(s) == 0, F.lit(NAN)).otherwise(value)
+        a = value(low)
+        out = a + (pos - low) * (value(low + 1) - a)
+    return F.when(n == 0, F.lit(NAN)).otherwise(out)
+
+
+def percentile_of(s: Column, p: float, kind: str = "legacy") -> Column:
+    """The percentile (0 to 100) of a sorted array."""
+    at = lambda k: F.get(s, F.greatest(F.lit(0), F.least(k.cast("int"), F.size(s)) - 1).cast("int"))
+    return _percentile(p, kind, F.size(s), at)
+
+
+def quantiles(df: DataFrame, x: str, at: Iterable[float], kind: str = "legacy", keys: list[str] | None = None, nan: str = "remove", name: str = "percentiles") -> DataFrame:
+    """keys, name: percentiles (0 to 100) of each group as an array, exact, for groups of any size.
+
+    The counts of distinct values are ranked by one scan over range partitions,
+    and the values at the places asked for are picked by an aggregate: no
+    group's values are gathered, and equal ones are combined first. A group
+    without values has NaN. kind: legacy, r1 to r9, or upper (the value after
+    the share of the values that is rounded down).
+    """
+    from arraymill.operators.prefix import same_keys, scan
+
+    own = [f"__k{i}" for i in range(len(keys or []))] or ["__k0"]
+    named = [F.col(k).alias(c) for k, c in zip(keys, own, strict=True)] if keys else [F.lit(0).alias("__k0")]
+    counts = df.select(*named, values(F.col(x), nan).alias("__x")).groupBy(*own, "__x").agg(F.count("__x").alias("__n"))
+    ranked = scan(counts, [*own, "__x"], F.col("__n"), "__upto")
+    ends = [f"{c}_" for c in own]
+    groups = ranked.groupBy(*(F.col(c).alias(e) for c, e in zip(own, ends, strict=True))).agg(F.min(F.col("__upto") - F.col("__n")).alias("__before"), F.sum("__n").alias("__count"))
+    last, places = F.col("__upto") - F.col("__before"), []
+
+    def value(k: Column) -> Column:
+        k = F.greatest(F.lit(1), F.least(k.cast("bigint"), F.col("__count")))
+        places.append(F.max(F.when((last - F.col("__n") < k) & (k <= last), F.col("__x"))).alias(f"__v{len(places)}"))
+        return F.col(f"__v{len(places) - 1}")
+
+    read = [_percentile(p, kind, F.col("__count"), value) for p in at]
+    picked = ranked.join(groups, same_keys(own, ends)).groupBy(*own, "__count").agg(*places)
+    return picked.select(*(F.col(c).alias(k) for c, k in zip(own, keys or [], strict=False)), F.array(*read).alias(name))
+
+
+def medians(df: DataFrame, x: str, keys: list[str] | None = None, nan: str = "remove", name: str = "median") -> DataFrame:
+    """keys, name: the upper median of each group, of any size."""
+    return quantiles(df, x, (50,), "upper", keys, nan, name).withColumn(name, F.col(name)[0])
 
 
 def percentiles(x: Column, at: Iterable[float], kind: str = "legacy", nan: str = "remove") -> Column:
+    """Exact percentiles of groups that fit in a task; quantiles() is for any."""
     s = F.sort_array(F.collect_list(values(x, nan)))
     return F.array(*(percentile_of(s, p, kind) for p in at))
 
@@ -178,13 +218,14 @@ def mode(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
 
 def outliers(df: DataFrame, x: str, keys: list[str] | None = None, factor: float = 1.5, name: str = "outlier") -> DataFrame:
     """df with a flag for values beyond factor interquartile ranges from the quartiles of their group."""
+    from arraymill.operators.prefix import same_keys
+
     keys = keys or []
-    s = F.sort_array(F.collect_list(values(F.col(x))))
-    cuts = df.groupBy(*keys).agg(percentile_of(s, 25).alias("_q1"), percentile_of(s, 75).alias("_q3"))
-    both = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))  # one row
+    cuts = quantiles(df, x, (25, 75), keys=keys, name="_q").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
+    both = df.join(cuts, same_keys(keys, [f"_k{i}" for i in range(len(keys))])) if keys else df.crossJoin(F.broadcast(cuts))  # one row
     room = factor * (F.col("_q3") - F.col("_q1"))
     v = F.col(x).cast("double")
-    return both.withColumn(name, (v < F.col("_q1") - room) | (v > F.col("_q3") + room)).drop("_q1", "_q3")
+    return both.withColumn(name, (v < F.col("_q1") - room) | (v > F.col("_q3") + room)).select(*df.columns, name)
 
 
 #: Names for describe().
@@ -207,9 +248,22 @@ STATISTICS: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
+#: Those of them that are order statistics: percentile and kind.
+_ORDERED = {"median": (50, "upper"), "quartile_1": (25, "legacy"), "quartile_3": (75, "legacy")}
+
+
 def describe(df: DataFrame, x: str, names: Iterable[str] = ("n_elems", "min", "mean", "max", "standard_deviation"), keys: list[str] | None = None, nan: str = "remove") -> DataFrame:
-    """Any of the statistics by name, in one aggregation."""
-    return df.groupBy(*(keys or [])).agg(*(STATISTICS[n](F.col(x), nan).alias(n) for n in names))
+    """keys and any of the statistics by name: one aggregation, and a scan for each kind of order statistic among them."""
+    from arraymill.operators.prefix import same_keys
+
+    names, keys = list(names), keys or []
+    out = df.groupBy(*keys).agg(F.lit(0).alias("__"), *(STATISTICS[n](F.col(x), nan).alias(n) for n in names if n not in _ORDERED))
+    for kind in sorted({_ORDERED[n][1] for n in names if n in _ORDERED}):
+        some = [n for n in names if _ORDERED.get(n, (0, ""))[1] == kind]
+        got = quantiles(df, x, [_ORDERED[n][0] for n in some], kind, keys, nan, "__q")
+        got = got.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), *(F.col("__q")[i].alias(n) for i, n in enumerate(some)))
+        out = out.join(got, same_keys(keys, [f"__{i}" for i in range(len(keys))])) if keys else out.crossJoin(F.broadcast(got))  # one row
+    return out.select(*keys, *names)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -220,8 +274,8 @@ def with_ranks(df: DataFrame, columns: list[str], keys: list[str] | None = None)
     """Adds <column>_rank: ranks from 1, ties share their mean, per group.
 
     Ranks come from the counts of distinct values, so ties are combined before
-    the window; a table without keys ranks distinct values in one place, by
-    range partitions where there are many (see prefix.exclusive_totals).
+    the window; a table without keys ranks distinct values by range partitions
+    (see prefix.scan).
     """
     from arraymill.operators.prefix import running_total
 
@@ -335,10 +389,31 @@ def normalize(df: DataFrame, x: str, keys: list[str] | None = None, name: str =
     return both.withColumn(name, divide(F.col(x), F.col("_m"))).drop("_m")
 
 
-def fold(op: Callable[[Column, Column], Column], x: Column) -> Column:
-    """A commutative operation over a group's values, as an aggregate; null of nothing."""
-    s = F.collect_list(x)
-    return F.when(F.size(s) > 0, F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), op))
+#: Folds that are aggregates of Spark's own.
+_FOLDS: dict[str, Callable[[Column], Column]] = {"add": F.sum, "min": F.min, "max": F.max, "multiply": F.product}
+
+
+def fold(op: str, x: Column) -> Column:
+    """add, min, max or multiply over a group's values, combined before the shuffle; null of nothing."""
+    return _FOLDS[op](x)
+
+
+def fold_by(df: DataFrame, op: Callable[[Column, Column], Column], x: str, keys: list[str] | None = None, name: str = "value", chunk: int = 4096) -> DataFrame:
+    """keys, name: any commutative and associative operation over a group's values that are not null, for groups of any size.
+
+    Groups are folded in parts of about chunk values until one part is left, so
+    that no more than a part is ever gathered.
+    """
+    keys = keys or []
+    one = lambda s: F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), op)
+    now = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("__x"))
+    most = now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while most > chunk:
+        parts = -(-most // chunk)
+        now = now.withColumn("__p", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+        now = now.groupBy(*keys, "__p").agg(one(F.collect_list("__x")).alias("__x")).drop("__p")
+        most = parts
+    return now.groupBy(*keys).agg(one(F.collect_list("__x")).alias(name))
 
 
 def summation(f: Callable[[Column], Column], x: Column, nan: str = "remove") -> Column:

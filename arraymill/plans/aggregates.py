@@ -19,8 +19,8 @@ _LINE = "lineitem GROUP BY l_returnflag"
 )
 def _flagship(t: Tables):
     r = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    d = t.lineitem.select("l_returnflag", r.alias("r")).groupBy("l_returnflag")
-    return d.agg(stats.n_values(F.col("r")).alias("n"), num(stats.mean(F.col("r"))).alias("mean"), num(stats.standard_deviation(F.col("r")), 4).alias("sd"), num(stats.skew(F.col("r"))).alias("skew"), num(stats.median(F.col("r"))).alias("median"))
+    d = stats.describe(t.lineitem.select("l_returnflag", r.alias("r")), "r", ("n_elems", "mean", "standard_deviation", "skew", "median"), ["l_returnflag"])
+    return d.select("l_returnflag", F.col("n_elems").alias("n"), num(F.col("mean")).alias("mean"), num(F.col("standard_deviation"), 4).alias("sd"), num(F.col("skew")).alias("skew"), num(F.col("median")).alias("median"))
 
 
 #: x has NaN where the quantity is 13.
@@ -41,15 +41,15 @@ _AGGS = {
     "moment_2": (lambda x: stats.moment(x, 2) / 1e10, f"var_pop({_X}) * count({_X}) / 1e10", 4),
     "moment_3": (lambda x: stats.moment(x, 3) / 1e15, f"skewness({_X}) * (count({_X}) - 2) / sqrt(CAST(count({_X}) AS DOUBLE) * (count({_X}) - 1)) * pow(var_pop({_X}), 1.5) * count({_X}) / 1e15", 4),
     "moment_4": (lambda x: stats.moment(x, 4) / 1e20, f"(kurtosis_pop({_X}) + 3) * pow(var_pop({_X}), 2) * count({_X}) / 1e20", 4),
-    "median": (lambda x: stats.median(x), f"list_sort(list({_X}) FILTER (WHERE l_quantity <> 13))[count({_X}) // 2 + 1]", 6),
-    "reduce_add": (lambda x: stats.fold(lambda a, b: a + b, F.nanvl(x, F.lit(0.0))), f"sum({_X})", 2),
-    "reduce_min": (lambda x: stats.fold(lambda a, b: F.least(a, b), F.nanvl(x, F.lit(5e4))), "min(CASE WHEN l_quantity <> 13 THEN l_extendedprice ELSE 50000 END)", 6),
-    "reduce_max": (lambda x: stats.fold(lambda a, b: F.greatest(a, b), F.nanvl(x, F.lit(5e4))), "max(CASE WHEN l_quantity <> 13 THEN l_extendedprice ELSE 50000 END)", 6),
+    "median": (None, f"list_sort(list({_X}) FILTER (WHERE l_quantity <> 13))[count({_X}) // 2 + 1]", 6),
+    "reduce_add": (lambda x: stats.fold("add", F.nanvl(x, F.lit(0.0))), f"sum({_X})", 2),
+    "reduce_min": (lambda x: stats.fold("min", F.nanvl(x, F.lit(5e4))), "min(CASE WHEN l_quantity <> 13 THEN l_extendedprice ELSE 50000 END)", 6),
+    "reduce_max": (lambda x: stats.fold("max", F.nanvl(x, F.lit(5e4))), "max(CASE WHEN l_quantity <> 13 THEN l_extendedprice ELSE 50000 END)", 6),
     "unary_summation": (lambda x: stats.summation(lambda v: F.sqrt(v), x), f"sum(sqrt({_X}))", 2),
     "magnitude_squared": (lambda x: stats.magnitude_squared(F.nanvl(x, F.lit(0.0))) / 1e9, f"sum({_X} * {_X}) / 1e9", 5),
     "magnitude": (lambda x: stats.magnitude(F.nanvl(x, F.lit(0.0))), f"sqrt(sum({_X} * {_X}))", 4),
-    "quartile_1": (lambda x: stats.quartile_1(x), None, 5),
-    "quartile_3": (lambda x: stats.quartile_3(x), None, 5),
+    "quartile_1": (None, None, 5),
+    "quartile_3": (None, None, 5),
 }
 
 
@@ -85,23 +85,26 @@ def _agg(name: str, f, sql: str | None, digits: int) -> None:
     @query(f"stat_{name}", text)
     def run(t: Tables):
         x = F.when(F.col("l_quantity") == 13, float("nan")).otherwise(F.col("l_extendedprice"))
-        return t.lineitem.select("l_returnflag", x.alias("x")).groupBy("l_returnflag").agg(num(f(F.col("x")), digits).alias("value"))
+        d = t.lineitem.select("l_returnflag", x.alias("x"))
+        if f is None:  # an order statistic
+            return stats.describe(d, "x", [name], ["l_returnflag"]).select("l_returnflag", num(F.col(name), digits).alias("value"))
+        return d.groupBy("l_returnflag").agg(num(f(F.col("x")), digits).alias("value"))
 
 
 for _n, (_f, _sql, _digits) in _AGGS.items():
     _agg(_n, _f, _sql, _digits)
 
-for _kind in stats._KINDS:
+for _kind in (k for k in stats._KINDS if k != "upper"):
 
     @query(f"percentiles_{_kind}", f"SELECT c_nationkey, {sql_num(_of(_kind, 0.1), 5)} AS p10, {sql_num(_of(_kind, 0.5), 5)} AS p50, {sql_num(_of(_kind, 0.9), 5)} AS p90 FROM (SELECT c_nationkey, c_acctbal AS x FROM customer) GROUP BY c_nationkey")
     def _percentiles(t: Tables, kind: str = _kind):
-        p = t.customer.groupBy("c_nationkey").agg(stats.percentiles(F.col("c_acctbal"), (10, 50, 90), kind).alias("p"))
+        p = stats.quantiles(t.customer, "c_acctbal", (10, 50, 90), kind, ["c_nationkey"], name="p")
         return p.select("c_nationkey", num(F.col("p")[0], 5).alias("p10"), num(F.col("p")[1], 5).alias("p50"), num(F.col("p")[2], 5).alias("p90"))
 
 
 @query("stat_quartiles", f"SELECT c_nationkey, {sql_num('min(x)', 5)} AS q0, {sql_num(_of('legacy', 0.25), 5)} AS q1, {sql_num(_of('legacy', 0.5), 5)} AS q2, {sql_num(_of('legacy', 0.75), 5)} AS q3, {sql_num('max(x)', 5)} AS q4 FROM (SELECT c_nationkey, c_acctbal AS x FROM customer) GROUP BY c_nationkey")
 def _quartiles(t: Tables):
-    q = t.customer.groupBy("c_nationkey").agg(stats.quartiles(F.col("c_acctbal")).alias("q"))
+    q = stats.quantiles(t.customer, "c_acctbal", (0.001, 25, 50, 75, 100), keys=["c_nationkey"], name="q")
     return q.select("c_nationkey", *(num(F.col("q")[k], 5).alias(f"q{k}") for k in range(5)))
 
 
@@ -110,6 +113,24 @@ def _product(t: Tables):
     return t.customer.groupBy("c_nationkey").agg(num(stats.product(1 + F.col("c_acctbal") / 100000)).alias("value"))
 
 
+@query("stat_fold_opaque", "SELECT c_nationkey, round(product(1 + c_acctbal / 100000) - 1, 6) + 0.0 AS value FROM customer GROUP BY c_nationkey")
+def _opaque_fold(t: Tables):
+    d = t.customer.select("c_nationkey", (F.col("c_acctbal") / 100000).alias("x"))
+    return stats.fold_by(d, lambda a, b: a + b + a * b, "x", ["c_nationkey"], chunk=64).withColumn("value", num(F.col("value")))
+
+
+@query("percentiles_small_groups", f"SELECT user_id, {sql_num(_of('legacy', 0.5), 5)} AS p50, {sql_num('list_sort(list(x))[count(*) // 2 + 1]', 5)} AS middle FROM (SELECT user_id, value AS x FROM events) GROUP BY user_id")
+def _small_groups(t: Tables):
+    d = t.events.groupBy("user_id").agg(stats.percentiles(F.col("value"), (50,)).alias("p"), stats.median(F.col("value")).alias("m"))
+    return d.select("user_id", num(F.col("p")[0], 5).alias("p50"), num(F.col("m"), 5).alias("middle"))
+
+
+@query("quantiles_whole", f"SELECT {sql_num(_of('r7', 0.25), 5)} AS q1, {sql_num(_of('r7', 0.5), 5)} AS q2, {sql_num(_of('r7', 0.99), 5)} AS q99 FROM (SELECT l_extendedprice AS x FROM lineitem)")
+def _whole_quantiles(t: Tables):
+    p = stats.quantiles(t.lineitem, "l_extendedprice", (25, 50, 99), "r7", name="p")
+    return p.select(num(F.col("p")[0], 5).alias("q1"), num(F.col("p")[1], 5).alias("q2"), num(F.col("p")[2], 5).alias("q99"))
+
+
 @query("stat_mode", "SELECT o_orderstatus, arg_min(o_orderpriority, (-n, o_orderpriority)) AS mode FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
 def _mode(t: Tables):
     return stats.mode(t.orders, "o_orderpriority", ["o_orderstatus"])
