@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arraymill.functions.expr import predicate
-from arraymill.operators.prefix import row_numbers
+from arraymill.operators.prefix import in_blocks, positions_within, row_numbers, scan
 
 
 def sort_keys(x: str, descending: bool = False, nan: str = "last") -> list[Column]:
@@ -79,14 +79,11 @@ def binary_search(x: Column, target: Column) -> Column:
 
 
 def search_many(data: DataFrame, x: str, targets: DataFrame, t: str) -> DataFrame:
-    """targets with pos, the lower-bound position of each in the sorted data: both are merged in one ordered scan."""
-    from arraymill.operators.prefix import scan
-
-    both = data.select(F.col(x).alias("_v"), F.lit(1).alias("_of"), F.lit(1).cast("bigint").alias("_n")).unionByName(
-        targets.select(F.col(t).alias("_v"), F.lit(0).alias("_of"), F.lit(0).cast("bigint").alias("_n"))
-    )
-    done = scan(both, ["_v", "_of"], F.col("_n"), "pos")
-    found = done.where("_of = 0").select(F.col("_v").alias(t), "pos").distinct()
+    """targets with pos, the lower-bound position of each in the sorted data: distinct values of both are merged in one ordered scan."""
+    counts = data.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n"), F.lit(1).alias("_of"))
+    asked = targets.select(F.col(t).alias("_v")).distinct().select("_v", F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_of"))
+    done = scan(counts.unionByName(asked), ["_v", "_of"], F.col("_n"), "pos")
+    found = done.where("_of = 0").select(F.col("_v").alias(t), "pos")
     return targets.join(found, t)
 
 
@@ -107,15 +104,26 @@ def indexes_where(df: DataFrame, flag: str, idx: str) -> DataFrame:
 
 
 def arggroup(df: DataFrame, by: str | Column, idx: str, keys: list[str] | None = None, name: str = "key") -> DataFrame:
-    """name, first, indexes: for each value its indexes in order; first tells the order in which values were met."""
+    """name, first, indexes: for each value its indexes in order, in one array; first tells the order in which values were met. See arggroup_rows for values of any count."""
     by = F.col(by) if isinstance(by, str) else by
     out = df.groupBy(*(keys or []), by.alias(name))
     return out.agg(F.min(idx).alias("first"), F.sort_array(F.collect_list(idx)).alias("indexes"))
 
 
+def arggroup_rows(df: DataFrame, by: str | Column, idx: str, name: str = "key") -> DataFrame:
+    """name, pos, idx: the indexes of each value as rows numbered in order; a value may have more than a task holds."""
+    by = F.col(by) if isinstance(by, str) else by
+    return positions_within(df.select(by.alias(name), idx), [name], [idx]).select(name, "pos", idx)
+
+
 def argpartition(df: DataFrame, by: str | Column, idx: str, keys: list[str]) -> DataFrame:
-    """keys, run, first, last, n, value: runs of equal values in index order, all runs included."""
+    """keys, run, first, last, n, value: runs of equal values in index order, all runs included; without keys those of one vector, in range partitions."""
     by = F.col(by) if isinstance(by, str) else by
+    if not keys:
+        fresh = lambda d, k: d.withColumn("_new", (~F.col("_b").eqNullSafe(F.lag("_b").over(Window.partitionBy(*k).orderBy(idx))) | (F.col("__i") == 0)).cast("bigint"))
+        marked = in_blocks(df.select(F.col(idx), by.alias("_b")), [idx], fresh, back=1)
+        runs = scan(marked, [idx], F.col("_new"), "run").withColumn("run", F.col("run") - 1)
+        return runs.groupBy("run").agg(F.min(idx).alias("first"), F.max(idx).alias("last"), F.count("*").alias("n"), F.first("_b").alias("value"))
     w = Window.partitionBy(*keys).orderBy(idx)
     marked = df.withColumn("_b", by).withColumn("_new", F.coalesce((~F.col("_b").eqNullSafe(F.lag("_b").over(w))).cast("int"), F.lit(1)))
     marked = marked.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("_new")))

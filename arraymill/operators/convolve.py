@@ -2,13 +2,12 @@
 
 The kernel is a list on the driver. A vector per key is filtered by lags in one
 window. A single long vector is cut into blocks with a halo, so that its parts
-are filtered in parallel.
+are filtered in parallel, each by FFT where that pays (overlap-save).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,29 +75,47 @@ def same(df: DataFrame, x: str, keys: list[str], order: str, kernel: list[float]
     return df.withColumn(name, sum((at(k) for k in range(1, len(kernel))), at(0)))
 
 
-def same_long(df: DataFrame, x: str, idx: str, kernel: list[float], edge: str = "zero", block: int = 1 << 16, name: str = "filtered") -> DataFrame:
-    """Mode "same" of one long vector with idx 0, 1, 2 ...: blocks with a halo, in parallel.
+def correlate_long(df: DataFrame, x: str, idx: str, kernel: list[float], mode: str = "same", edge: str = "zero", constant: float = 0.0, step: int = 1, fft: bool | None = None, block: int = 1 << 16, name: str = "filtered") -> DataFrame:
+    """idx, name: one long vector with idx 0, 1, 2 ... against the kernel, in every mode and edge of correlate_array.
 
-    Every block also gets the rows within the kernel's reach of it; the ends of
-    the whole vector are padded by the edge rule of correlate_array.
+    The vector is padded as a DataFrame: the places beyond its ends, fewer than
+    the kernel has, are joined to the rows that they repeat. Each block of
+    results gets the padded rows in its reach, and is one task's work.
     """
-    left, right = pads(len(kernel), "same")
-    n = df.agg(F.max(idx)).first()[0]
-    near = F.array_distinct(F.transform(F.array(F.lit(-right), F.lit(0), F.lit(left)), lambda d: F.floor((F.col(idx) + d) / block)))
-    spread = df.select(idx, x, F.explode(near).alias("_block")).where(f"_block >= 0 and _block <= {0 if n is None else n // block}")
+    m = len(kernel)
+    left, right = pads(m, mode)
+    n = (df.agg(F.max(idx)).first()[0] + 1) if df.limit(1).count() else 0
+    size = n + left + right - m + 1 if n else 0
+    spark, form = df.sparkSession, f"{idx} long, {name} double"
+    if size <= 0:
+        return spark.createDataFrame([], form)
+    rows = df.select((F.col(idx) + left).cast("bigint").alias("__i"), F.col(x).cast("double").alias("__v"))
+    beyond = [*range(-left, 0), *range(n, n + right)]
+    if EDGES[edge] == "constant":
+        ends = spark.createDataFrame([(p + left, constant if edge == "constant" else 0.0) for p in beyond], "__i long, __v double")
+    else:
+        whole = 2 * n
+        source = {"edge": lambda p: min(max(p, 0), n - 1), "wrap": lambda p: p % n, "symmetric": lambda p: min(p % whole, whole - 1 - p % whole)}[EDGES[edge]]
+        to = spark.createDataFrame([(p + left, source(p)) for p in beyond], f"__i long, {idx} long")  # fewer rows than the kernel has values
+        ends = df.select(idx, F.col(x).cast("double").alias("__v")).join(F.broadcast(to), idx).select("__i", "__v")
+    reach = F.sequence(F.greatest(F.floor((F.col("__i") - (m - 1)) / block), F.lit(0)), F.floor(F.col("__i") / block))
+    spread = rows.unionByName(ends).withColumn("__b", F.explode(reach))
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("__i")
+        at, v = int(g["__i"].iloc[0]), g["__v"].to_numpy(float)
+        out = correlate_array(v, kernel, "valid", fft=fft if fft is not None else m >= 64)
+        place = np.arange(at, at + len(out))
+        on = (place < min(size, (key[0] + 1) * block)) & (place % step == 0)
+        return pd.DataFrame({idx: place[on] // step, name: out[on]})
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(idx)
-        i, v, b = g[idx].to_numpy(), g[x].to_numpy(float), int(g["_block"].iloc[0])
-        kind = EDGES[edge]
-        v = np.pad(v, (left if i[0] == 0 else 0, right if i[-1] == n else 0), mode=kind)
-        lo = max(b * block, 0)
-        start = (lo - left) - (i[0] - (left if i[0] == 0 else 0))
-        count = min((b + 1) * block, n + 1) - lo
-        out = np.correlate(v[start : start + count + len(kernel) - 1], np.asarray(kernel, float), "valid")
-        return pd.DataFrame({idx: np.arange(lo, lo + count), name: out})
+    return spread.groupBy("__b").applyInPandas(one, form)
 
-    return spread.groupBy("_block").applyInPandas(one, f"{idx} long, {name} double")
+
+def same_long(df: DataFrame, x: str, idx: str, kernel: list[float], edge: str = "zero", block: int = 1 << 16, name: str = "filtered") -> DataFrame:
+    """Mode "same" of one long vector with idx 0, 1, 2 ...: as long as the vector."""
+    out = correlate_long(df, x, idx, kernel, "same", edge, block=block, name=name)
+    return out if len(kernel) % 2 else out.where(F.col(idx) < df.count())
 
 
 def gauss_kernel(sigma: float, radius: int) -> list[float]:
@@ -119,7 +136,7 @@ def ricker(points: int, a: float) -> list[float]:
 
 
 def cwt(df: DataFrame, x: str, keys: list[str], order: str, widths: list[float], wavelet=ricker) -> DataFrame:
-    """keys, width, pos, value: each vector against the wavelet at each width."""
+    """keys, width, pos, value: each vector against the wavelet at each width, not reversed; a vector is one task's work (see cwt_long)."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
@@ -128,20 +145,23 @@ def cwt(df: DataFrame, x: str, keys: list[str], order: str, widths: list[float],
         out = []
         for width in widths:
             n = min(int(10 * width), len(v))
-            c = correlate_array(v, wavelet(n, width)[::-1], "same")[: len(v)]
+            c = correlate_array(v, wavelet(n, width), "same")[: len(v)]
             out.append(pd.DataFrame({**{k: [z] * len(c) for k, z in zip(keys, key, strict=True)}, "width": float(width), "pos": np.arange(len(c)), "value": c}))
         return pd.concat(out)
 
     return df.select(*keys, order, x).groupBy(*keys).applyInPandas(one, f"{head}width double, pos long, value double")
 
 
-def chunks(values: Iterator[float], size: int) -> Iterator[list[float]]:
-    """Batches of an iterator."""
-    batch: list[float] = []
-    for v in values:
-        batch.append(v)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def cwt_long(df: DataFrame, x: str, idx: str, widths: list[float], wavelet=ricker, block: int = 1 << 16) -> DataFrame:
+    """width, idx, value: one long vector with idx 0, 1, 2 ... against the wavelet at each width, in blocks."""
+    n, out = df.count(), None
+    for width in widths:
+        points = min(int(10 * width), n)
+        some = correlate_long(df, x, idx, wavelet(points, width), "same", block=block, name="value").where(F.col(idx) < n).select(F.lit(float(width)).alias("width"), idx, "value")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def gaussian_long(df: DataFrame, x: str, idx: str, sigma: float, edge: str = "reflect", truncate: float = 4.0, block: int = 1 << 16, name: str = "filtered") -> DataFrame:
+    """A Gaussian filter of one long vector with idx 0, 1, 2 ..."""
+    return correlate_long(df, x, idx, gauss_kernel(sigma, int(truncate * sigma + 0.5)), "same", edge, block=block, name=name)

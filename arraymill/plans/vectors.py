@@ -112,6 +112,16 @@ def _argpartition(t: Tables):
     return r.select("user_id", "run", "n", F.unix_micros(F.col("first").cast("timestamp")).alias("first"), "value")
 
 
+@query("argpartition_whole", "SELECT CAST(run AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, any_value(o_orderstatus) AS value FROM (SELECT *, sum(new) OVER (ORDER BY o_orderkey) - 1 AS run FROM (SELECT *, CASE WHEN lag(o_orderstatus) OVER (ORDER BY o_orderkey) IS DISTINCT FROM o_orderstatus THEN 1 ELSE 0 END AS new FROM orders)) GROUP BY run")
+def _argpartition_whole(t: Tables):
+    return argops.argpartition(t.orders, "o_orderstatus", "o_orderkey", [])
+
+
+@query("arggroup_rows", "SELECT event_type AS key, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS pos, event_id FROM events")
+def _arggroup_rows(t: Tables):
+    return argops.arggroup_rows(t.events, "event_type", "event_id")
+
+
 @query("argpartition_by", f"SELECT user_id, CAST(count(*) AS BIGINT) AS runs FROM (SELECT DISTINCT user_id, run FROM (SELECT *, sum(new) {_W} AS run FROM (SELECT *, CASE WHEN lag(value > 50) {_W} IS DISTINCT FROM (value > 50) THEN 1 ELSE 0 END AS new FROM events))) GROUP BY user_id")
 def _argpartition_by(t: Tables):
     return argops.argpartition(t.events, F.col("value") > 50, "ts", ["user_id"]).groupBy("user_id").agg(F.count("*").alias("runs"))
@@ -176,6 +186,39 @@ for _p, _frame in {"right": "CURRENT ROW AND 3599 FOLLOWING", "left": "3599 PREC
         return d.select("event_id", "n", num(F.col("total")).alias("total"))
 
 
+for _p, _cond in {"right": "o.value >= e.value", "left": "o.value <= e.value"}.items():
+    _near = f"FILTER (WHERE abs(o.value - e.value) < 7.255 AND {_cond})"
+
+    @query(f"rolling_variable_double_{_p}", f"SELECT event_id, CAST(count(*) {_near} AS BIGINT) AS n, {sql_num(f'sum(o.value) {_near}', 4)} AS total FROM events e JOIN (SELECT user_id, value FROM events) o USING (user_id) GROUP BY event_id")
+    def _variable_double(t: Tables, position: str = _p):
+        d = rolling.variable(t.events, ["user_id"], F.col("value"), 7.255, {"n": "count(*)", "total": "sum(value)"}, position)
+        return d.select("event_id", "n", num(F.col("total"), 4).alias("total"))
+
+
+_STEPS = """WITH RECURSIVE e AS (SELECT user_id, value, {at} AS v, row_number() OVER (PARTITION BY user_id ORDER BY {by}) - 1 AS i FROM events),
+w AS (SELECT user_id, i, v FROM e WHERE i = 0 UNION ALL
+  SELECT w.user_id, n.i, n.v FROM w, LATERAL (SELECT e.i, e.v FROM e WHERE e.user_id = w.user_id AND e.i > w.i AND e.v >= w.v + {step} ORDER BY e.i LIMIT 1) n)
+SELECT w.user_id, CAST(w.i AS BIGINT) AS first, CAST(max(e.i) + 1 AS BIGINT) AS past, round(sum(e.value), 4) + 0.0 AS total FROM w JOIN e ON e.user_id = w.user_id AND e.i >= w.i AND e.v < w.v + {span} GROUP BY w.user_id, w.i"""
+
+
+@query("rolling_variable_steps", _STEPS.format(at="value", by="value, event_id", step="20.5", span="33.25"))
+def _variable_steps(t: Tables):
+    d = rolling.variable_steps(t.events.select("user_id", "value"), ["user_id"], "value", 33.25, 20.5, {"total": F.sum("value")})
+    return d.withColumn("total", num(F.col("total"), 4))
+
+
+@query("rolling_calendar_days", _STEPS.format(at="ts", by="ts", step="INTERVAL 3 DAY", span="INTERVAL 7 DAY"))
+def _variable_days(t: Tables):
+    d = rolling.variable_steps(t.events.select("user_id", "value", "ts"), ["user_id"], "ts", 7, 3, {"total": F.sum("value")}, "days")
+    return d.withColumn("total", num(F.col("total"), 4))
+
+
+@query("rolling_calendar_months", _STEPS.format(at="ts", by="ts", step="INTERVAL 1 MONTH", span="INTERVAL 1 MONTH"))
+def _variable_months(t: Tables):
+    d = rolling.variable_steps(t.events.select("user_id", "value", "ts"), ["user_id"], "ts", 1, 1, {"total": F.sum("value")}, "months")
+    return d.withColumn("total", num(F.col("total"), 4))
+
+
 @query("expanding_windows", f"SELECT event_id, {sql_num(f'avg(value) {_W} / 3.14159265358979')} AS value FROM events")
 def _expanding(t: Tables):
     return rolling.expanding(t.events, ["user_id"], "ts", {"m": F.avg("value")}).select("event_id", num(F.col("m") / 3.14159265358979).alias("value"))
@@ -200,6 +243,51 @@ def _cumprod(t: Tables):
     return rolling.cumprod(d, "v", ["user_id"], "ts").select("event_id", num(F.col("run")).alias("value"))
 
 
+_O = "OVER (ORDER BY o_orderkey)"
+_OALL = "OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_OAT = f"(row_number() {_O} - 1)"
+_P = "o_totalprice"
+#: One vector without keys: name, what to run, the column of its result, its SQL.
+_WHOLE = {
+    "rolling_mean_whole": (lambda d: rolling.fixed(d, _P, [], "o_orderkey", 5), "rolled", f"(sum({_P}) OVER (ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(2 - {_OAT}, 0) * first_value({_P}) {_OALL} + greatest({_OAT} + 2 - (count(*) {_OALL} - 1), 0) * last_value({_P}) {_OALL}) / 5"),
+    "rolling_max_whole": (lambda d: rolling.fixed(d, _P, [], "o_orderkey", 4, "max", "right"), "rolled", f"max({_P}) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"),
+    "rolling_function_whole": (lambda d: rolling.fixed(d, _P, [], "o_orderkey", 3, lambda a: F.element_at(F.sort_array(a), 2), "left"), "rolled", f"list_sort([coalesce(lag({_P}, 2) {_O}, first_value({_P}) {_OALL}), coalesce(lag({_P}) {_O}, first_value({_P}) {_OALL}), {_P}])[2]"),
+    "shift_whole": (lambda d: rolling.shift(d, _P, [], "o_orderkey", 3), "shifted", f"coalesce(lag({_P}, 3) {_O}, first_value({_P}) {_OALL})"),
+    "shift_forward_whole": (lambda d: rolling.shift(d, _P, [], "o_orderkey", -2), "shifted", f"coalesce(lead({_P}, 2) {_O}, last_value({_P}) {_OALL})"),
+    "gradient1d_whole": (lambda d: rolling.gradient1d(d, _P, [], "o_orderkey", 2.0), "gradient", f"(coalesce(lead({_P}) {_O}, {_P}) - coalesce(lag({_P}) {_O}, {_P})) / (CASE WHEN lead({_P}) {_O} IS NOT NULL AND lag({_P}) {_O} IS NOT NULL THEN 2 ELSE 1 END * 2.0)"),
+    "diff1d_whole": (lambda d: rolling.diff1d(d, _P, [], "o_orderkey"), "diff", f"{_P} - lag({_P}) {_O}"),
+    "cummin_whole": (lambda d: rolling.cummin(d, _P, [], "o_orderkey"), "run", f"min({_P}) {_O}"),
+    "cummax_whole": (lambda d: rolling.cummax(d, _P, [], "o_orderkey"), "run", f"max({_P}) {_O}"),
+    "cumprod_whole": (lambda d: rolling.cumprod(d.withColumn(_P, 1 + (F.col(_P) - 150000) / 1e9), _P, [], "o_orderkey"), "run", f"exp(sum(ln(1 + ({_P} - 150000) / 1e9)) {_O})"),
+}
+
+
+def _whole(name: str, f, column: str, sql: str) -> None:
+    @query(name, f"SELECT o_orderkey, {sql_num('value', 4)} AS value FROM (SELECT o_orderkey, {sql} AS value FROM orders) WHERE value IS NOT NULL")
+    def run(t: Tables):
+        return f(t.orders.select("o_orderkey", _P)).select("o_orderkey", num(F.col(column), 4).alias("value"))
+
+
+for _n, (_f, _c, _sql) in _WHOLE.items():
+    _whole(_n, _f, _c, _sql)
+
+
+@query("rolling_ranges_whole", f"SELECT o_orderkey, CAST(greatest({_OAT} - 2, 0) AS BIGINT) AS first, CAST(least({_OAT} + 3, count(*) {_OALL}) AS BIGINT) AS past FROM orders")
+def _ranges_whole(t: Tables):
+    return rolling.ranges(t.orders.select("o_orderkey"), [], "o_orderkey", 5)
+
+
+@query("fill_range_whole", "SELECT round(v + CASE WHEN k = 0 THEN 0 ELSE (nxt - v) * k / parts END, 6) + 0.0 AS v, k > 0 AS inserted FROM (SELECT *, unnest(range(parts)) AS k FROM (SELECT *, CAST(CASE WHEN nxt - v > 3 THEN ceil((nxt - v) / 3) ELSE 1 END AS BIGINT) AS parts FROM (SELECT c_acctbal AS v, lead(c_acctbal) OVER (ORDER BY c_acctbal) AS nxt FROM customer)))")
+def _fill_whole(t: Tables):
+    d = rolling.fill_range(t.customer.select(F.col("c_acctbal").alias("v")), "v", [], 3.0)
+    return d.select(num(F.col("v")).alias("v"), "inserted")
+
+
+@query("downsample_whole", "SELECT CAST(d.pos AS BIGINT) AS pos, o_totalprice FROM range(100) d(pos) JOIN (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) ON i = floor(0.5 + pos * ((SELECT count(*) FROM orders) - 1) / 99.0)")
+def _downsample_whole(t: Tables):
+    return rolling.downsample(t.orders, _P, [], "o_orderkey", 100)
+
+
 @query("cumsum_whole", "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) + 0.0 AS value FROM orders")
 def _cumsum_whole(t: Tables):
     return prefix.running_total(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], "o_totalprice", "run").select("o_orderkey", num(F.col("run"), 2).alias("value"))
@@ -244,9 +332,9 @@ def _downsample(t: Tables):
     return rolling.downsample(t.events, "value", ["user_id"], "ts", 8)
 
 
-@query("downsample_blocks", f"SELECT user_id, CAST(floor(i * 8 / n) AS BIGINT) AS pos, round(avg(value), 6) + 0.0 AS value FROM (SELECT user_id, value, {_AT} AS i, count(*) {_ALL} AS n FROM events) GROUP BY user_id, floor(i * 8 / n)")
+@query("downsample_blocks", f"SELECT d.user_id, CAST(pos AS BIGINT) AS pos, round(avg(value), 6) + 0.0 AS value FROM (SELECT user_id, m, n, unnest(range(m)) AS pos FROM (SELECT user_id, least(7, count(*)) AS m, count(*) AS n FROM events GROUP BY user_id)) d JOIN (SELECT user_id, value, {_AT} AS i FROM events) e ON e.user_id = d.user_id AND i >= floor(pos * (n / m) + 0.5) AND i < floor(pos * (n / m) + 0.5) + floor(n / m + 0.5) GROUP BY d.user_id, pos")
 def _blocks(t: Tables):
-    return rolling.downsample_blocks(t.events, "value", ["user_id"], "ts", 8).withColumn("value", num(F.col("value")))
+    return rolling.downsample_blocks(t.events, "value", ["user_id"], "ts", 7).withColumn("value", num(F.col("value")))
 
 
 # filters
@@ -308,12 +396,60 @@ def _ricker(t: Tables):
     return t.spark.createDataFrame([(i, round(w, 9)) for i, w in enumerate(convolve.ricker(9, 2.0))], "i bigint, w double")
 
 
-@query("cwt")
+def _skewed(points: int, width: float) -> list[float]:
+    """A wavelet that is not symmetric, so that a reversal shows."""
+    return [(k + 1) / width for k in range(points)]
+
+
+@query("cwt", f"SELECT user_id, width, CAST(i AS BIGINT) AS pos, {sql_num('sum(v * (k + 1) / width)', 4)} AS value FROM (SELECT a.user_id, width, a.i, k, b.value AS v FROM (SELECT user_id, {_AT} AS i, count(*) {_ALL} AS n FROM events) a, (VALUES (0.5), (1.0)) w(width), range(10) r(k) LEFT JOIN (SELECT user_id, value, {_AT} AS j FROM events) b ON b.user_id = a.user_id AND b.j = a.i + k - (CASE WHEN least(CAST(10 * width AS BIGINT), n) % 2 = 1 THEN least(CAST(10 * width AS BIGINT), n) // 2 ELSE least(CAST(10 * width AS BIGINT), n) // 2 - 1 END) WHERE k < least(CAST(10 * width AS BIGINT), n)) GROUP BY user_id, width, i")
 def _cwt(t: Tables):
-    return convolve.cwt(t.events, "value", ["user_id"], "ts", [1.0, 2.0, 4.0])
+    d = convolve.cwt(t.events, "value", ["user_id"], "ts", [0.5, 1.0], _skewed)
+    return d.withColumn("value", num(F.col("value"), 4))
 
 
-@query("filter_long_vector", "SELECT CAST(o_orderkey AS BIGINT) AS idx, round(coalesce(lag(o_totalprice) OVER w, 0) * 0.25 + o_totalprice * 0.5 + coalesce(lead(o_totalprice) OVER w, 0) * 0.25, 4) + 0.0 AS value FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS o_orderkey, o_totalprice FROM orders) WINDOW w AS (ORDER BY o_orderkey)")
 def _long(t: Tables):
+    return prefix.row_numbers(t.orders.select("o_orderkey", F.col(_P).alias("v")), ["o_orderkey"]).select("idx", "v")
+
+
+_KL = [0.1, 0.4, 0.3, 0.15, 0.05]
+
+
+def _long_sql(left: int, right: int, edge: str, kernel: list[float] = _KL, step: int = 1) -> str:
+    """One long vector against a kernel, by a join with the places that it reaches."""
+    m, n = len(kernel), "(SELECT count(*) FROM orders)"
+    at = {"zero": "p", "constant": "p", "clamp": f"greatest(0, least(p, {n} - 1))", "wrap": f"((p + {n}) % {n})", "reflect": f"CASE WHEN p < 0 THEN -1 - p WHEN p >= {n} THEN 2 * {n} - 1 - p ELSE p END"}[edge]
+    ks = ", ".join(f"({k}, {w!r})" for k, w in enumerate(kernel))
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS v FROM orders),
+    r AS (SELECT o, w, o * {step} + k - {left} AS p FROM range((({n} + {left + right - m}) // {step}) + 1) q(o), (VALUES {ks}) kk(k, w))
+    SELECT CAST(o AS BIGINT) AS idx, {sql_num(f'sum(w * coalesce(v, {7.5 if edge == "constant" else 0}))', 4)} AS value FROM (SELECT o, w, {at} AS i FROM r) LEFT JOIN v USING (i) GROUP BY o"""
+
+
+_LONG = {
+    "full_zero": ("full", "zero", {}), "full_constant": ("full", "constant", {"constant": 7.5}), "same_clamp": ("same", "clamp", {}), "same_reflect": ("same", "reflect", {}),
+    "same_wrap": ("same", "wrap", {}), "valid": ("valid", "zero", {}), "fft": ("same", "reflect", {"fft": True}), "stepped": ("valid", "zero", {"step": 3}),
+}
+for _n, (_mode, _edge, _more) in _LONG.items():
+
+    @query(f"correlate_long_{_n}", _long_sql(*convolve.pads(5, _mode), _edge, step=_more.get("step", 1)))
+    def _correlate_long(t: Tables, mode: str = _mode, edge: str = _edge, more: dict = _more):
+        return convolve.correlate_long(_long(t), "v", "idx", _KL, mode, edge, block=4096, **more).select("idx", num(F.col("filtered"), 4).alias("value"))
+
+
+_GL = convolve.gauss_kernel(1.5, 6)
+
+
+@query("gaussian_long", _long_sql(6, 6, "reflect", _GL))
+def _gaussian_long(t: Tables):
+    return convolve.gaussian_long(_long(t), "v", "idx", 1.5, block=4096).select("idx", num(F.col("filtered"), 4).alias("value"))
+
+
+@query("cwt_long", "SELECT 0.5 AS width, * FROM (" + _long_sql(2, 2, "zero", _skewed(5, 0.5)) + ")")
+def _cwt_long(t: Tables):
+    d = convolve.cwt_long(_long(t), "v", "idx", [0.5], _skewed, block=4096)
+    return d.withColumn("value", num(F.col("value"), 4))
+
+
+@query("filter_long_vector", "SELECT CAST(o_orderkey AS BIGINT) AS idx, round(coalesce(lag(o_totalprice) OVER w, 0) * 0.25 + o_totalprice * 0.5 + coalesce(lead(o_totalprice) OVER w, 0) * 0.25, 4) + 0.0 AS value FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS o_orderkey, o_totalprice FROM orders) WINDOW w AS (ORDER BY o_orderkey)")
+def _filter_long(t: Tables):
     v = prefix.row_numbers(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"]).select("idx", "o_totalprice")
     return convolve.same_long(v, "o_totalprice", "idx", _K3, block=4096).select("idx", num(F.col("filtered"), 4).alias("value"))
