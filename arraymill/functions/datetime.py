@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Units in microseconds; a relative year has 365 days.
@@ -92,9 +94,19 @@ def minus_epoch(t: Column, n: Column, of: str, unit: str) -> Column:
     return plus_epoch(t, -n, of, unit)
 
 
-def between(a: Column, b: Column, unit: str) -> Column:
-    """Whole units from a to b, truncated."""
-    return F.timestamp_diff(_CALENDAR[unit], a, b).cast("bigint")
+def between(a: Column, b: Column, unit: str, reverse: bool = False) -> Column:
+    """Whole units from a to b (from b to a if reverse), truncated."""
+    return F.timestamp_diff(_CALENDAR[unit], *((b, a) if reverse else (a, b))).cast("bigint")
+
+
+def statistics(df: DataFrame, x: str, names: Iterable[str] = ("min", "mean", "max", "quartile_1", "quartile_3"), keys: list[str] | None = None, zone: str = "UTC") -> DataFrame:
+    """keys and statistics of timestamps, taken in milliseconds; values that are times come back as timestamps, others stay milliseconds."""
+    from arraymill.operators.stats import describe
+
+    names = list(names)
+    out = describe(df.withColumn("__ms", to_milliseconds(F.col(x), zone)), "__ms", names, keys)
+    times = {"min", "max", "mean", "median", "quartile_1", "quartile_3"}
+    return out.select(*(keys or []), *((from_milliseconds(F.floor(F.col(n)), zone) if n in times else F.col(n)).alias(n) for n in names))
 
 
 def epoch_months(d: Column) -> Column:

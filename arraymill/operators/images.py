@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraymill.operators.tensor import Tensor, compute
+from arraymill.operators.tensor import Tensor, compute, select
 
 #: Gradients as colours (blue, green, red) at even places.
 GRADIENTS = {"gray": [(0, 0, 0), (255, 255, 255)], "green-red": [(0, 255, 0), (0, 255, 255), (0, 0, 255)], "blue-red": [(255, 0, 0), (255, 255, 255), (0, 0, 255)]}
@@ -67,19 +67,45 @@ def resize(t: Tensor, height: int, width: int) -> Tensor:
     return resize_bilinear(t, height, width) if height > t.shape[0] or width > t.shape[1] else resize_nearest(t, height, width)
 
 
-def downsample(t: Tensor) -> Tensor:
-    """Half the size, each pixel the mean of four."""
-    half = t.df.groupBy(F.floor(F.col("i0") / 2).alias("i0"), F.floor(F.col("i1") / 2).alias("i1"), "i2").agg(F.avg("v").alias("v"))
-    return Tensor(half, (-(-t.shape[0] // 2), -(-t.shape[1] // 2), t.shape[2]))
+def downsample(t: Tensor, height: int | None = None, width: int | None = None) -> Tensor:
+    """Half the size, rounded down, each pixel the mean of four; or bilinear to a given size."""
+    h, w = t.shape[0] // 2, t.shape[1] // 2
+    if height is not None and width is not None and (height, width) != (h, w):
+        return resize_bilinear(t, height, width)
+    inside = t.df.where((F.col("i0") < 2 * h) & (F.col("i1") < 2 * w))
+    half = inside.groupBy(F.floor(F.col("i0") / 2).alias("i0"), F.floor(F.col("i1") / 2).alias("i1"), "i2").agg(F.avg("v").alias("v"))
+    return Tensor(half, (h, w, t.shape[2]))
 
 
-def draw(src: Tensor, dst: Tensor, y: int, x: int) -> Tensor:
-    """dst with src drawn at a place; what falls outside is cut off."""
+def crop(t: Tensor, y: int, x: int, height: int, width: int) -> Tensor:
+    """A part of an image, cut off where the image ends."""
+    height, width = min(height, t.shape[0] - y), min(width, t.shape[1] - x)
+    return select(t, range(y, y + height), range(x, x + width))
+
+
+def draw(src: Tensor, dst: Tensor, y: int, x: int, height: int | None = None, width: int | None = None, part: tuple[int, int, int, int] | None = None, bilinear: bool = False) -> Tensor:
+    """dst with src, or a part (y, x, height, width) of it, drawn at a place in a size; what falls outside is cut off."""
+    src = crop(src, *part) if part else src
+    to = (height or src.shape[0], width or src.shape[1])
+    if to != src.shape[:2]:
+        src = (resize_bilinear if bilinear else resize_nearest)(src, *to)
     moved = src.df.select((F.col("i0") + y).alias("i0"), (F.col("i1") + x).alias("i1"), "i2", F.col("v").alias("_new"), F.lit(True).alias("_set"))
     out = dst.df.join(moved, ["i0", "i1", "i2"], "left")
     return Tensor(out.select("i0", "i1", "i2", F.when(F.col("_set"), F.col("_new")).otherwise(F.col("v")).alias("v")), dst.shape)
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """origin, height, width, channels, data (blue, green, red in row-major order) of image files, by Spark's own source; from_files() gives pixels."""
+    return spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def from_files(images: DataFrame) -> DataFrame:
+    """origin, i0, i1, i2, v of loaded images of any sizes."""
+    rows = images.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("_k"))
+    line, byte = F.col("width") * F.col("channels"), F.conv(F.hex(F.substring(F.col("data"), F.col("_k") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.select("origin", F.floor(F.col("_k") / line).alias("i0"), (F.floor(F.col("_k") / F.col("channels")) % F.col("width")).alias("i1"), (F.col("_k") % F.col("channels")).cast("bigint").alias("i2"), byte.alias("v"))
+
+
 def from_binary(df: DataFrame, key: str, data: str, height: int, width: int, channels: int) -> DataFrame:
     """key, i0, i1, i2, v from raw bytes in row-major order."""
     at = F.sequence(F.lit(0), F.lit(height * width * channels - 1))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +152,17 @@ def spark_struct(fields: list[tuple[str, object, int]]) -> str:
 def map_reduce(spark: SparkSession, n: int, f: Callable[[Column], Column], agg: Callable[[Column], Column]) -> DataFrame:
     """value: an aggregate of f over 0 ... n - 1."""
     return spark.range(n).agg(agg(f(F.col("id"))).alias("value"))
+
+
+def map_reduce_opaque(spark: SparkSession, n: int, f: Callable[[np.ndarray], object], merge: Callable[[object, object], object], kind: str) -> DataFrame:
+    """value: a Python function of blocks of the indexes 0 ... n - 1, combined by another, of a Spark type. A partition sends one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f(b["id"].to_numpy()) for b in batches if len(b)]
+        if parts:
+            yield pd.DataFrame({"value": [reduce(merge, parts)]})
+
+    def end(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"value": [reduce(merge, g["value"].tolist())]})
+
+    return spark.range(n).mapInPandas(run, f"value {kind}").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda g: end(g), f"value {kind}")

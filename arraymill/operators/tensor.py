@@ -7,11 +7,13 @@ an axis shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,18 +186,25 @@ def select(t: Tensor, *by: Selector) -> Tensor:
     return _moved(Tensor(df, t.shape), kept, tuple(shape))
 
 
-def slices(t: Tensor, n: int) -> list[Tensor]:
-    """The sub-tensors under the first n axes."""
-    from itertools import product
+def slices(t: Tensor, n: int) -> DataFrame:
+    """All sub-tensors under the first n axes: slice (the row-major number of a sub-tensor), its own axes and v, in one DataFrame."""
+    at = reduce(lambda a, b: a + b, (F.col(c) * s for c, s in zip(t.axes[:n], strides(t.shape[:n]), strict=True)), F.lit(0).cast("bigint"))
+    return t.df.select(at.alias("slice"), *(F.col(c).alias(f"i{k}") for k, c in enumerate(t.axes[n:])), "v")
 
-    return [select(t, *at) for at in product(*(range(k) for k in t.shape[:n]))]
 
+def slices_right(t: Tensor, n: int) -> DataFrame:
+    """All sub-tensors under the last n axes, as slices() has them."""
+    return slices(transpose(t, [*range(t.rank - n, t.rank), *range(t.rank - n)]), n)
 
-def slices_right(t: Tensor, n: int) -> list[Tensor]:
-    """The sub-tensors under the last n axes."""
-    from itertools import product
 
-    return [select(t, *["all"] * (t.rank - n), *at) for at in product(*(range(k) for k in t.shape[t.rank - n :]))]
+def at(t: Tensor, *by: int) -> Tensor:
+    """The sub-tensor under the first axes at some indexes."""
+    return select(t, *by)
+
+
+def at_right(t: Tensor, *by: int) -> Tensor:
+    """The sub-tensor under the last axes at some indexes."""
+    return select(t, *["all"] * (t.rank - len(by)), *by)
 
 
 def rows(t: Tensor) -> DataFrame:
@@ -226,6 +235,13 @@ def assign(t: Tensor, updates: DataFrame) -> Tensor:
     return Tensor(t.df.join(new, t.axes, "left").select(*t.axes, F.when(F.col("_set"), F.col("_new")).otherwise(F.col("v")).alias("v")), t.shape)
 
 
+def assign_at(t: Tensor, part: Tensor, place: tuple[int, ...]) -> Tensor:
+    """Overwrites a block of the same rank that begins at a place and lies inside."""
+    if any(o < 0 or o + m > n for o, m, n in zip(place, part.shape, t.shape, strict=True)):
+        raise ValueError("the block must lie inside")
+    return assign(t, part.df.select(*((F.col(c) + o).alias(c) for c, o in zip(t.axes, place, strict=True)), "v"))
+
+
 def zip_with(a: Tensor, b: Tensor, f: Callable[[Column, Column], Column]) -> Tensor:
     """Elementwise over two tensors; the smaller is broadcast."""
     shape = tuple(max(x, y) for x, y in zip((1,) * (b.rank - a.rank) + a.shape, (1,) * (a.rank - b.rank) + b.shape, strict=True))
@@ -253,12 +269,53 @@ def map_axis(t: Tensor, f: Callable[[object], Column], axis: int = -1) -> Tensor
     return Tensor(t.df.withColumn("v", f(w)), t.shape)
 
 
-def matmul(a: Tensor, b: Tensor) -> Tensor:
-    """The product of two matrices: a join on the inner axis and a sum."""
-    left = a.df.select(F.col("i0").alias("r"), F.col("i1").alias("k"), F.col("v").alias("x"))
-    right = b.df.select(F.col("i0").alias("k"), F.col("i1").alias("c"), F.col("v").alias("y"))
-    out = left.join(right, "k").groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return Tensor(out.select(F.col("r").alias("i0"), F.col("c").alias("i1"), "v"), (a.shape[0], b.shape[1]))
+def map_vectors(t: Tensor, f: Callable[[Column], Column], axis: int = -1) -> Tensor:
+    """A function of each whole vector along an axis, an array of doubles to one of the same length."""
+    axis %= t.rank
+    rest = [c for k, c in enumerate(t.axes) if k != axis]
+    held = t.df.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct(f"i{axis}", "v"))).alias("_a"))
+    out = held.select(*rest, F.posexplode(f(F.transform("_a", lambda p: p["v"]))).alias(f"i{axis}", "v"))
+    return Tensor(out.select(*(F.col(c).cast("bigint").alias(c) for c in t.axes), "v"), t.shape)
+
+
+def to_strings(t: Tensor, n: int) -> DataFrame:
+    """The sub-tensors under the first n axes as nested brackets in row-major order: those axes and v."""
+    df = t.df.withColumn("v", F.col("v").cast("string"))
+    for k in range(t.rank - 1, n - 1, -1):
+        inner = F.transform(F.sort_array(F.collect_list(F.struct(f"i{k}", "v"))), lambda p: p["v"])
+        df = df.groupBy(*t.axes[:k]).agg(F.concat(F.lit("["), F.array_join(inner, " "), F.lit("]")).alias("v"))
+    return df
+
+
+def matmul(a: Tensor, b: Tensor, block: int = 256) -> Tensor:
+    """The product of two matrices, in square blocks: a shuffle row is a block, and a task multiplies pairs of them."""
+    m = -(-a.shape[1] // block)
+    pack = F.collect_list(F.struct((F.col("i0") % block).cast("int").alias("r"), (F.col("i1") % block).cast("int").alias("c"), F.col("v").cast("double").alias("v")))  # block^2 cells at most
+
+    def packed(t: Tensor, names: tuple[str, str, str]) -> DataFrame:
+        place = (F.floor(F.col("i0") / block).alias(names[0]), F.floor(F.col("i1") / block).alias(names[1]))
+        return t.df.groupBy(*place).agg(pack.alias(names[2]))
+
+    pairs = packed(a, ("i", "k", "x")).join(packed(b, ("k", "j", "y")), "k")
+
+    def dense(cells: pa.ListScalar) -> np.ndarray:
+        out, c = np.zeros((block, block)), cells.values
+        out[c.field("r").to_numpy(), c.field("c").to_numpy()] = c.field("v").to_numpy(zero_copy_only=False)
+        return out
+
+    height, width = a.shape[0], b.shape[1]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x, y in zip(*batch.columns, strict=True):
+                z = dense(x) @ dense(y)
+                r, c = np.nonzero(np.ones_like(z))
+                r, c = r + i.as_py() * block, c + j.as_py() * block
+                on = (r < height) & (c < width)
+                yield pa.RecordBatch.from_arrays([pa.array(r[on]), pa.array(c[on]), pa.array(z.ravel()[on])], ["i0", "i1", "v"])
+
+    parts = pairs.select("i", "j", "x", "y").mapInArrow(multiply, "i0 bigint, i1 bigint, v double")
+    return Tensor(parts.groupBy("i0", "i1").agg(F.sum("v").alias("v")) if m > 1 else parts, (height, width))
 
 
 def is_dense(t: Tensor) -> bool:

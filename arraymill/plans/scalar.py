@@ -342,11 +342,15 @@ def _pack(t: Tables):
     return t.orders.select("o_orderkey", p.cast("bigint").alias("packed"), dt.unpack(p, "local-date").cast("string").alias("unpacked"))
 
 
-@query("date_statistics", "SELECT o_orderstatus, CAST(min(epoch_ms(o_orderdate)) AS BIGINT) AS least, CAST(max(epoch_ms(o_orderdate)) AS BIGINT) AS most, CAST(floor(avg(epoch_ms(o_orderdate))) AS BIGINT) AS middle FROM orders GROUP BY ALL")
+@query("date_statistics", "SELECT o_orderstatus, CAST(min(epoch_ms(o_orderdate)) AS BIGINT) AS least, CAST(max(epoch_ms(o_orderdate)) AS BIGINT) AS most, CAST(floor(avg(epoch_ms(o_orderdate))) AS BIGINT) AS middle, CAST(list_sort(list(epoch_ms(o_orderdate)))[count(*) // 2 + 1] AS BIGINT) AS median FROM orders GROUP BY ALL")
 def _date_stats(t: Tables):
-    ms = dt.to_milliseconds(F.col("o_orderdate"))
-    back = lambda x: F.unix_millis(dt.from_milliseconds(x))
-    return t.orders.groupBy("o_orderstatus").agg(back(F.min(ms)).alias("least"), back(F.max(ms)).alias("most"), back(F.avg(ms)).alias("middle"))
+    d = dt.statistics(t.orders, "o_orderdate", ("min", "max", "mean", "median"), ["o_orderstatus"])
+    return d.select("o_orderstatus", *(F.unix_millis(a).alias(b) for a, b in (("min", "least"), ("max", "most"), ("mean", "middle"), ("median", "median"))))
+
+
+@query("date_between_reverse", "SELECT o_orderkey, CAST(date_sub('day', TIMESTAMP '1998-08-02 12:30:15', o_orderdate) AS BIGINT) AS value FROM orders")
+def _between_reverse(t: Tables):
+    return t.orders.select("o_orderkey", dt.between(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02 12:30:15").cast("timestamp"), "days", reverse=True).alias("value"))
 
 
 # cells

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from arraymill.operators import buffers, images, prefix, sets, tensor
 from arraymill.sources import io
+from arraymill.store import folder
 from arraymill.streaming import windows
 
 from ._registry import Tables, num, query, sql_num
@@ -40,16 +43,17 @@ def _sub(t: Tables):
     return buffers.sub_buffer(_vector(t), 100, 200)
 
 
-@query("buffer_gather", f"SELECT CAST(p AS BIGINT) AS pos, v FROM range(300) r(p) JOIN {_VEC} q ON q.idx = (p * 7) % 100")
+@query("buffer_gather", f"SELECT CAST(p AS BIGINT) AS pos, v FROM range(2 * {_N}) r(p) JOIN {_VEC} q ON q.idx = (p * 7 + 3) % {_N}")
 def _gather(t: Tables):
-    ix = t.spark.range(300).select(F.col("id").alias("pos"), (F.col("id") * 7 % 100).alias("idx"))
+    n = t.orders.count()
+    ix = t.spark.range(2 * n).select(F.col("id").alias("pos"), ((F.col("id") * 7 + 3) % n).alias("idx"))
     return buffers.gather(_vector(t), ix)
 
 
-@query("buffer_concat", f"SELECT CAST(idx AS BIGINT) AS idx, v FROM {_VEC} WHERE idx < 50 UNION ALL SELECT CAST(idx - 50 AS BIGINT), v FROM {_VEC} WHERE idx BETWEEN 100 AND 149")
+@query("buffer_concat", f"SELECT CAST(idx AS BIGINT) AS idx, v FROM {_VEC} UNION ALL SELECT CAST(2 * {_N} - 1 - idx AS BIGINT), v FROM {_VEC}")
 def _concat(t: Tables):
-    v = _vector(t)
-    return buffers.concatenated([(buffers.sub_buffer(v, 0, 50), 50), (buffers.sub_buffer(v, 100, 50), 50)])
+    v, n = _vector(t), t.orders.count()
+    return buffers.concatenated([(v, n), (buffers.reverse(v, n), n)])
 
 
 @query("buffer_reverse", f"SELECT CAST({_N} - 1 - idx AS BIGINT) AS idx, v FROM {_VEC}")
@@ -109,10 +113,15 @@ def _opaque(t: Tables):
     return buffers.emap(t.orders, lambda p: num(twice(p)), "o_totalprice").select("o_orderkey", "value")
 
 
-@query("zipped_vectors", f"SELECT CAST(a.idx AS BIGINT) AS idx, round(a.v - b.v, 6) + 0.0 AS v FROM {_VEC} a JOIN {_VEC} b ON a.idx = b.idx WHERE a.idx < 500")
+@query("zipped_vectors", f"SELECT CAST(a.idx AS BIGINT) AS idx, round(a.v - b.v, 6) + 0.0 AS v FROM {_VEC} a JOIN {_VEC} b ON b.idx = {_N} - 1 - a.idx")
 def _zipped(t: Tables):
     v = _vector(t)
-    return buffers.zipped(v, buffers.sub_buffer(v, 0, 500), lambda a, b: num(a - b))
+    return buffers.zipped(v, buffers.reverse(v, t.orders.count()), lambda a, b: num(a - b))
+
+
+@query("opaque_map_reduce", "SELECT CAST(sum(i * i) AS BIGINT) AS value FROM range(100000) r(i)")
+def _opaque_map_reduce(t: Tables):
+    return sets.map_reduce_opaque(t.spark, 100_000, lambda i: int((i.astype("int64") ** 2).sum()), lambda a, b: a + b, "bigint")
 
 
 @query("indexed_map_reduce", "SELECT CAST(sum(i * i) AS BIGINT) AS value FROM range(10000) r(i)")
@@ -123,7 +132,9 @@ def _map_reduce(t: Tables):
 # tensors: the embeddings as a matrix, and small computed ones
 
 _M = "(SELECT vec_id AS i0, k AS i1, CAST(e AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS k FROM embeddings))"
-_C = "(SELECT i AS i0, j AS i1, k AS i2, CAST(i * 100 + j * 10 + k AS BIGINT) AS v FROM range(4) a(i), range(5) b(j), range(6) c(k))"
+_R = "(SELECT count(*) FROM embeddings)"
+#: The embeddings as a tensor of rows x 8 x 8.
+_C = f"(SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, v FROM {_M})"
 _B = lambda *xs: ", ".join(f"CAST({x} AS BIGINT) AS i{k}" for k, x in enumerate(xs))
 
 
@@ -133,40 +144,43 @@ def _matrix(t: Tables) -> tensor.Tensor:
 
 
 def _cube(t: Tables) -> tensor.Tensor:
-    return tensor.compute(t.spark, (4, 5, 6), lambda i, j, k: i * 100 + j * 10 + k)
+    m = _matrix(t)
+    return tensor.reshape(m, (m.shape[0], 8, 8))
 
 
+_AT = "(i0 * 64 + i1 * 8 + i2)"
 _TENSORS = {
-    "compute": (lambda x: x, f"SELECT {_B('i0', 'i1', 'i2')}, v FROM {_C}"),
+    "reshape": (lambda x: tensor.reshape(x, (2 * x.shape[0], 32)), f"SELECT {_B(f'{_AT} // 32', f'{_AT} % 32')}, v FROM {_C}"),
+    "reshape_smaller": (lambda x: tensor.reshape(x, (x.shape[0], 3)), f"SELECT {_B(f'{_AT} // 3', f'{_AT} % 3')}, v FROM {_C} WHERE {_AT} < 3 * {_R}"),
     "transpose": (lambda x: tensor.transpose(x, [2, 0, 1]), f"SELECT {_B('i2', 'i0', 'i1')}, v FROM {_C}"),
-    "reshape": (lambda x: tensor.reshape(x, (8, 15)), f"SELECT {_B('(i0 * 30 + i1 * 6 + i2) // 15', '(i0 * 30 + i1 * 6 + i2) % 15')}, v FROM {_C}"),
-    "reshape_smaller": (lambda x: tensor.reshape(x, (3, 3)), f"SELECT {_B('(i0 * 30 + i1 * 6 + i2) // 3', '(i0 * 30 + i1 * 6 + i2) % 3')}, v FROM {_C} WHERE i0 * 30 + i1 * 6 + i2 < 9"),
-    "rotate": (lambda x: tensor.rotate(x, [1, 0, -2]), f"SELECT {_B('(i0 + 3) % 4', 'i1', '(i2 + 2) % 6')}, v FROM {_C}"),
-    "broadcast": (lambda x: tensor.broadcast(x, (2, 4, 10, 6)), f"SELECT {_B('a', 'i0', 'i1 + 5 * b', 'i2')}, v FROM {_C}, range(2) p(a), range(2) q(b)"),
+    "rotate": (lambda x: tensor.rotate(x, [1, 0, -2]), f"SELECT {_B(f'(i0 + {_R} - 1) % {_R}', 'i1', '(i2 + 2) % 8')}, v FROM {_C}"),
+    "broadcast": (lambda x: tensor.broadcast(x, (2, x.shape[0], 16, 8)), f"SELECT {_B('a', 'i0', 'i1 + 8 * b', 'i2')}, v FROM {_C}, range(2) p(a), range(2) q(b)"),
     "select_number": (lambda x: tensor.select(x, "all", 2), f"SELECT {_B('i0', 'i2')}, v FROM {_C} WHERE i1 = 2"),
-    "select_reverse": (lambda x: tensor.select(x, "reverse"), f"SELECT {_B('3 - i0', 'i1', 'i2')}, v FROM {_C}"),
+    "select_reverse": (lambda x: tensor.select(x, "reverse"), f"SELECT {_B(f'{_R} - 1 - i0', 'i1', 'i2')}, v FROM {_C}"),
     "select_range": (lambda x: tensor.select(x, "all", range(1, 4)), f"SELECT {_B('i0', 'i1 - 1', 'i2')}, v FROM {_C} WHERE i1 BETWEEN 1 AND 3"),
     "select_list": (lambda x: tensor.select(x, "all", "all", [5, 0, 5]), f"SELECT {_B('i0', 'i1', 'o')}, v FROM {_C} JOIN (VALUES (5, 0), (0, 1), (5, 2)) m(s, o) ON i2 = m.s"),
-    "slice": (lambda x: tensor.slices(x, 1)[2], f"SELECT {_B('i1', 'i2')}, v FROM {_C} WHERE i0 = 2"),
-    "slice_right": (lambda x: tensor.slices_right(x, 1)[4], f"SELECT {_B('i0', 'i1')}, v FROM {_C} WHERE i2 = 4"),
+    "slice": (lambda x: tensor.at(x, 2), f"SELECT {_B('i1', 'i2')}, v FROM {_C} WHERE i0 = 2"),
+    "slice_right": (lambda x: tensor.at_right(x, 4), f"SELECT {_B('i0', 'i1')}, v FROM {_C} WHERE i2 = 4"),
     "mget": (lambda x: tensor.mget(x, 1, 2), f"SELECT {_B('i2')}, v FROM {_C} WHERE i0 = 1 AND i1 = 2"),
-    "mset": (lambda x: tensor.mset(x, -1, F.col("i1") == 3), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(CASE WHEN i1 = 3 THEN -1 ELSE v END AS BIGINT) AS v FROM {_C}"),
-    "assign": (lambda x: tensor.assign(x, x.df.where("i0 = 0").withColumn("v", F.lit(0).cast("bigint"))), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(CASE WHEN i0 = 0 THEN 0 ELSE v END AS BIGINT) AS v FROM {_C}"),
-    "reduce_axis": (lambda x: tensor.reduce_axis(x, F.sum, 1), f"SELECT {_B('i0', 'i2')}, CAST(sum(v) AS BIGINT) AS v FROM {_C} GROUP BY i0, i2"),
-    "map_axis": (lambda x: tensor.map_axis(x, lambda w: F.sum("v").over(w), 2), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(sum(v) OVER (PARTITION BY i0, i1 ORDER BY i2) AS BIGINT) AS v FROM {_C}"),
-    "zip_with": (lambda x: tensor.zip_with(x, tensor.select(x, 0), lambda a, b: a - b), f"SELECT {_B('a.i0', 'a.i1', 'a.i2')}, CAST(a.v - b.v AS BIGINT) AS v FROM {_C} a JOIN {_C} b ON b.i0 = 0 AND a.i1 = b.i1 AND a.i2 = b.i2"),
-    "emap": (lambda x: tensor.emap(x, lambda v: v * 2), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(v * 2 AS BIGINT) AS v FROM {_C}"),
-    "constant": (lambda x: tensor.constant(x.df.sparkSession, 3, (2, 3)), f"SELECT {_B('i', 'j')}, CAST(3 AS BIGINT) AS v FROM range(2) a(i), range(3) b(j)"),
-    "zeros": (lambda x: tensor.zeros(x.df.sparkSession, (3, 3)), f"SELECT {_B('i', 'j')}, CAST(0 AS DOUBLE) AS v FROM range(3) a(i), range(3) b(j)"),
+    "mset": (lambda x: tensor.mset(x, -1.0, F.col("i1") == 3), f"SELECT {_B('i0', 'i1', 'i2')}, CASE WHEN i1 = 3 THEN -1.0 ELSE v END AS v FROM {_C}"),
+    "assign": (lambda x: tensor.assign(x, x.df.where("i0 % 2 = 0").withColumn("v", F.lit(0.0))), f"SELECT {_B('i0', 'i1', 'i2')}, CASE WHEN i0 % 2 = 0 THEN 0.0 ELSE v END AS v FROM {_C}"),
+    "assign_part": (lambda x: tensor.assign_at(x, tensor.constant(x.df.sparkSession, 7.0, (x.shape[0] - 3, 2, 3)), (3, 1, 4)), f"SELECT {_B('i0', 'i1', 'i2')}, CASE WHEN i0 >= 3 AND i1 BETWEEN 1 AND 2 AND i2 BETWEEN 4 AND 6 THEN 7.0 ELSE v END AS v FROM {_C}"),
+    "reduce_axis": (lambda x: tensor.reduce_axis(x, F.max, 1), f"SELECT {_B('i0', 'i2')}, max(v) AS v FROM {_C} GROUP BY i0, i2"),
+    "map_axis": (lambda x: tensor.map_axis(x, lambda w: F.max("v").over(w), 2), f"SELECT {_B('i0', 'i1', 'i2')}, max(v) OVER (PARTITION BY i0, i1 ORDER BY i2) AS v FROM {_C}"),
+    "map_axis_vectors": (lambda x: tensor.map_vectors(x, lambda a: F.transform(F.reverse(a), lambda v: v * 2), 2), f"SELECT {_B('i0', 'i1', '7 - i2')}, v * 2 AS v FROM {_C}"),
+    "zip_with": (lambda x: tensor.zip_with(x, tensor.select(x, 0), lambda a, b: a - b), f"SELECT {_B('a.i0', 'a.i1', 'a.i2')}, a.v - b.v AS v FROM {_C} a JOIN {_C} b ON b.i0 = 0 AND a.i1 = b.i1 AND a.i2 = b.i2"),
+    "emap": (lambda x: tensor.emap(x, lambda v: v * 2), f"SELECT {_B('i0', 'i1', 'i2')}, v * 2 AS v FROM {_C}"),
+    "compute": (lambda x: tensor.compute(x.df.sparkSession, x.shape, lambda i, j, k: (i * 100 + j * 10 + k).cast("double")), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(i0 * 100 + i1 * 10 + i2 AS DOUBLE) AS v FROM {_C}"),
+    "constant": (lambda x: tensor.constant(x.df.sparkSession, 3.0, x.shape), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(3 AS DOUBLE) AS v FROM {_C}"),
+    "zeros": (lambda x: tensor.zeros(x.df.sparkSession, x.shape), f"SELECT {_B('i0', 'i1', 'i2')}, CAST(0 AS DOUBLE) AS v FROM {_C}"),
     "from_nested": (lambda x: tensor.from_nested(x.df.sparkSession, [[1, 2], [3, 4], [5, 6]]), f"SELECT {_B('i', 'j')}, CAST(i * 2 + j + 1 AS DOUBLE) AS v FROM range(3) a(i), range(2) b(j)"),
-}
+}
 
 
 def _tensor(name: str, f, sql: str) -> None:
     @query(f"tensor_{name}", sql)
     def run(t: Tables):
-        out = f(_cube(t)).df
-        return out.withColumn("v", F.col("v").cast("bigint")) if out.schema["v"].dataType.typeName() in ("integer", "long") else out
+        return f(_cube(t)).df
 
 
 for _n, (_f, _sql) in _TENSORS.items():
@@ -188,24 +202,39 @@ def _to_vector(t: Tables):
     return tensor.to_vector(_matrix(t))
 
 
-@query("tensor_from_vector", f"SELECT {_B('idx // 10', 'idx % 10')}, v FROM {_VEC} WHERE idx < 1000")
+@query("tensor_from_vector", f"SELECT {_B('idx // 10', 'idx % 10')}, v FROM {_VEC}")
 def _from_vector(t: Tables):
-    return tensor.from_vector(buffers.sub_buffer(_vector(t), 0, 1000), "idx", "v", (100, 10)).df
+    return tensor.from_vector(_vector(t), "idx", "v", (-(-t.orders.count() // 10), 10)).df
+
 
+_SUM = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
 
-@query("tensor_rows", f"SELECT CAST(i0 AS BIGINT) AS i0, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM {_C} GROUP BY i0")
+
+@query("tensor_rows", f"SELECT CAST(i0 AS BIGINT) AS i0, {sql_num('sum(v)')} AS total, CAST(count(*) AS BIGINT) AS n FROM {_C} GROUP BY i0")
 def _rows(t: Tables):
-    return tensor.rows(_cube(t)).select("i0", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.size("v").cast("bigint").alias("n"))
+    return tensor.rows(_cube(t)).select("i0", num(_SUM("v")).alias("total"), F.size("v").cast("bigint").alias("n"))
 
 
-@query("tensor_columns", f"SELECT CAST(i2 AS BIGINT) AS i2, CAST(sum(v) AS BIGINT) AS total FROM {_C} GROUP BY i2")
+@query("tensor_columns", f"SELECT CAST(i2 AS BIGINT) AS i2, {sql_num('sum(v)', 4)} AS total FROM {_C} GROUP BY i2")
 def _columns(t: Tables):
-    return tensor.columns(_cube(t)).select("i2", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+    return tensor.columns(_cube(t)).select("i2", num(_SUM("v"), 4).alias("total"))
 
 
-@query("tensor_to_cells", f"SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, array_to_string(list(v ORDER BY i2), ',') AS v FROM {_C} GROUP BY i0, i1")
+@query("tensor_to_cells", f"SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, {sql_num('sum(v * (i2 + 1))')} AS v FROM {_C} GROUP BY i0, i1")
 def _to_cells(t: Tables):
-    return tensor.to_cells(_cube(t)).withColumn("v", F.array_join(F.col("v").cast("array<string>"), ","))
+    weighed = F.transform("v", lambda x, k: x * (k + 1))
+    return tensor.to_cells(_cube(t)).withColumn("v", num(_SUM(weighed)))
+
+
+@query("tensor_to_string", f"SELECT CAST(i0 AS BIGINT) AS i0, '[' || string_agg(line, ' ' ORDER BY i1) || ']' AS text FROM (SELECT i0, i1, '[' || string_agg(CAST(i0 * 100 + i1 * 10 + i2 AS VARCHAR), ' ' ORDER BY i2) || ']' AS line FROM {_C} GROUP BY i0, i1) GROUP BY i0")
+def _to_string(t: Tables):
+    x = _cube(t)
+    return tensor.to_strings(tensor.compute(t.spark, x.shape, lambda i, j, k: i * 100 + j * 10 + k), 1).withColumnRenamed("v", "text")
+
+
+@query("tensor_slices", f"SELECT CAST(i0 AS BIGINT) AS slice, {_B('i1', 'i2')}, v FROM {_C}")
+def _slices(t: Tables):
+    return tensor.slices(_cube(t), 1)
 
 
 @query("tensor_matmul", f"SELECT CAST(a.i1 AS BIGINT) AS i0, CAST(b.i1 AS BIGINT) AS i1, {sql_num('sum(a.v * b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1")
@@ -300,9 +329,31 @@ def _nearest(t: Tables):
     return images.resize(_image(t), 10, 12).df
 
 
-@query("image_resize_bilinear")
+_PIXELS = "(SELECT y, x, c, CAST(v AS DOUBLE) AS v FROM {img})"
+
+
+def _bilinear_sql(img: str, h: int, w: int, height: int, width: int) -> str:
+    """Each pixel from the four around it, written out."""
+    side = lambda f, n: f"greatest(0, least({n - 1}, {f}))"
+    taps = " UNION ALL ".join(f"SELECT i, j, {side(f'floor(fy) + {a}', h)} AS y, {side(f'floor(fx) + {b}', w)} AS x, ({'fy - floor(fy)' if a else '1 - fy + floor(fy)'}) * ({'fx - floor(fx)' if b else '1 - fx + floor(fx)'}) AS p FROM g" for a in (0, 1) for b in (0, 1))
+    return f"""WITH g AS (SELECT i, j, (i + 0.5) * {h} / {height} - 0.5 AS fy, (j + 0.5) * {w} / {width} - 0.5 AS fx FROM range({height}) a(i), range({width}) b(j)), q AS ({taps})
+    SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CAST(c AS BIGINT) AS i2, {sql_num('sum(p * v)')} AS v FROM q JOIN {_PIXELS.format(img=img)} s ON s.y = q.y AND s.x = q.x GROUP BY i, j, c"""
+
+
+@query("image_resize_bilinear", _bilinear_sql(_IMG, 24, 32, 48, 64))
 def _bilinear(t: Tables):
-    return images.resize(_image(t), 48, 64).df
+    return images.resize(_image(t), 48, 64).df.withColumn("v", num(F.col("v")))
+
+
+@query("image_downsample_to", _bilinear_sql(_IMG, 24, 32, 7, 9))
+def _downsample_to(t: Tables):
+    return images.downsample(_image(t), 7, 9).df.withColumn("v", num(F.col("v")))
+
+
+@query("image_draw_scaled", f"SELECT CAST(y AS BIGINT) AS i0, CAST(x AS BIGINT) AS i1, CAST(c AS BIGINT) AS i2, CAST(CASE WHEN y BETWEEN 3 AND 10 AND x BETWEEN 28 AND 31 THEN ((2 + (y - 3) // 2) * 7 + (4 + (x - 28) // 2) * 3 + c * 50) % 256 ELSE v END AS BIGINT) AS v FROM {_IMG}")
+def _draw_scaled(t: Tables):
+    out = images.draw(_image(t), _image(t), 3, 28, 8, 10, (2, 4, 4, 5))  # a part of 4 x 5 in double size, cut off on the right
+    return out.df.withColumn("v", F.col("v").cast("bigint"))
 
 
 @query("image_draw", f"SELECT CAST(y AS BIGINT) AS i0, CAST(x AS BIGINT) AS i1, CAST(c AS BIGINT) AS i2, CAST(CASE WHEN y BETWEEN 5 AND 8 AND x BETWEEN 6 AND 9 THEN 9 ELSE v END AS BIGINT) AS v FROM {_IMG}")
@@ -324,6 +375,29 @@ def _binary(t: Tables):
     return images.from_binary(raw, "k", "data", 24, 32, 3).groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+@query("file_append", "SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT -o_orderkey, o_totalprice FROM orders")
+def _append(t: Tables):
+    path, v = f"{folder(t.spark)}/vector-{uuid.uuid4().hex}", t.orders.select("o_orderkey", "o_totalprice")
+    io.write_vector(v, path)
+    io.write_vector(v.withColumn("o_orderkey", -F.col("o_orderkey")), path)
+    return t.spark.read.parquet(path)
+
+
+@query("file_freeze_thaw", f"SELECT {_B('i0', 'i1')}, v FROM {_M}")
+def _freeze(t: Tables):
+    path, m = f"{folder(t.spark)}/tensor-{uuid.uuid4().hex}", _matrix(t)
+    io.freeze(m.df, path, m.shape)
+    df, shape = io.thaw(t.spark, path)
+    return tensor.Tensor(df, shape).df.where(F.lit(shape == m.shape))
+
+
+@query("file_text_charset", "SELECT n_name || ' é' AS value FROM nation")
+def _text_charset(t: Tables):
+    path = f"{folder(t.spark)}/text-{uuid.uuid4().hex}"
+    t.nation.select(F.concat("n_name", F.lit(" é")).alias("value")).write.option("encoding", "ISO-8859-1").csv(path, sep="\x01", quote="")
+    return io.read_text(t.spark, path, "ISO-8859-1")
+
+
 @query("binary_peek", "SELECT o_orderkey, CAST(o_orderkey & 255 AS BIGINT) AS byte, CAST(o_orderkey AS BIGINT) AS whole FROM orders")
 def _peek(t: Tables):
     raw = F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substring(F.lpad(F.hex("o_orderkey"), 16, "0"), k * 2 + 1, F.lit(2)))), ""))

@@ -6,20 +6,28 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fixed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the session's checkpoint folder.
 
-    The folder is the one in spark.checkpoint.dir; a local one is used only
-    where the session names none (tests, local mode).
+    The folder is the one in spark.checkpoint.dir; where the session names none,
+    a local master (tests) gets a local one, and others fail.
     """
-    sc = df.sparkSession.sparkContext
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="arraymill-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return named or sc.getCheckpointDir()
