@@ -119,8 +119,8 @@ def variable_steps(df: DataFrame, keys: list[str], order: str, span: float, step
     longer, so that windows are found in rounds that grow with the logarithm of
     their count.
     """
-    own = keys or ["__all"]
-    rows = df if keys else df.withColumn("__all", F.lit(0))
+    own = keys or ["__one"]
+    rows = df if keys else df.withColumn("__one", F.lit(0))
     rows = stored(positions_within(rows, own, [order], "__i"))
     value = F.col(order) if unit else F.col(order).cast("double")
 

@@ -261,8 +261,8 @@ def describe(df: DataFrame, x: str, names: Iterable[str] = ("n_elems", "min", "m
     for kind in sorted({_ORDERED[n][1] for n in names if n in _ORDERED}):
         some = [n for n in names if _ORDERED.get(n, (0, ""))[1] == kind]
         got = quantiles(df, x, [_ORDERED[n][0] for n in some], kind, keys, nan, "__q")
-        got = got.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), *(F.col("__q")[i].alias(n) for i, n in enumerate(some)))
-        out = out.join(got, same_keys(keys, [f"__{i}" for i in range(len(keys))])) if keys else out.crossJoin(F.broadcast(got))  # one row
+        got = got.select(*(F.col(k).alias(f"__{kind}{i}") for i, k in enumerate(keys)), *(F.col("__q")[i].alias(n) for i, n in enumerate(some)))
+        out = out.join(got, same_keys(keys, [f"__{kind}{i}" for i in range(len(keys))])) if keys else out.crossJoin(F.broadcast(got))  # one row
     return out.select(*keys, *names)
 
 

@@ -353,6 +353,33 @@ def _between_reverse(t: Tables):
     return t.orders.select("o_orderkey", dt.between(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02 12:30:15").cast("timestamp"), "days", reverse=True).alias("value"))
 
 
+# results that are not finite, which num() would hide
+
+_X = "(floor(value) - 50)"
+#: Name, the operation of x, and the class of its result in SQL.
+_EDGES = {
+    "log": (lambda x: expr.UNARY["log"](x), f"CASE WHEN {_X} < 0 THEN 'nan' WHEN {_X} = 0 THEN '-inf' ELSE 'finite' END"),
+    "log10": (lambda x: expr.UNARY["log10"](x), f"CASE WHEN {_X} < 0 THEN 'nan' WHEN {_X} = 0 THEN '-inf' ELSE 'finite' END"),
+    "log1p": (lambda x: expr.UNARY["log1p"](x), f"CASE WHEN {_X} < -1 THEN 'nan' WHEN {_X} = -1 THEN '-inf' ELSE 'finite' END"),
+    "sqrt": (lambda x: expr.UNARY["sqrt"](x), f"CASE WHEN {_X} < 0 THEN 'nan' ELSE 'finite' END"),
+    "asin": (lambda x: expr.UNARY["asin"](x), f"CASE WHEN abs({_X}) > 1 THEN 'nan' ELSE 'finite' END"),
+    "exp": (lambda x: expr.UNARY["exp"](x * 100), f"CASE WHEN {_X} > 7 THEN 'inf' ELSE 'finite' END"),
+    "reciprocal": (lambda x: expr.UNARY["reciprocal"](x), f"CASE WHEN {_X} = 0 THEN 'inf' ELSE 'finite' END"),
+    "negative_over": (lambda x: expr.divide(F.lit(-2.0), x), f"CASE WHEN {_X} = 0 THEN '-inf' ELSE 'finite' END"),
+    "over_itself": (lambda x: expr.divide(x, x), f"CASE WHEN {_X} = 0 THEN 'nan' ELSE 'finite' END"),
+}
+
+
+def _kind(x):
+    return F.when(x.isNull(), "null").when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise("finite")
+
+
+@query("ieee_edges", f"SELECT event_id, {', '.join(f'{sql} AS {n}' for n, (_, sql) in _EDGES.items())} FROM events")
+def _edges(t: Tables):
+    x = F.floor("value").cast("double") - 50
+    return t.events.select("event_id", *(_kind(f(x)).alias(n) for n, (f, _) in _EDGES.items()))
+
+
 # cells
 
 _E = "embeddings"
@@ -376,8 +403,8 @@ _CELLS = {
     "index_of": (lambda a: cells.index_of(a, cells.get(a, 9)), "list_position(embedding, embedding[10]) - 1"),
     "argfilter_count": (lambda a: F.size(cells.argfilter(a, lambda x: x > 0)), "len(list_filter(embedding, lambda x: x > 0))"),
     "argsort_first": (lambda a: cells.get(cells.argsort(a), 0), "list_position(embedding, list_min(embedding)) - 1"),
-    "concat_size": (lambda a: F.size(cells.concat(a, a)), "len(embedding) * 2"),
-    "flatten_size": (lambda a: F.size(cells.flatten(F.array(a, a, a))), "len(embedding) * 3"),
+    "concat": (lambda a: F.size(a) * cells.get(cells.concat(a, cells.reverse(a)), 64) - cells.get(cells.concat(a, a), 65), "len(embedding) * embedding[64] - embedding[2]"),
+    "flatten": (lambda a: F.size(cells.flatten(F.array(a, a, a))) + cells.get(cells.flatten(F.array(a, cells.reverse(a))), 70).cast("double"), "len(embedding) * 3 + CAST(embedding[58] AS DOUBLE)"),
     "zipped": (lambda a: cells.total(cells.zipped(lambda x, y: x.cast("double") - y, a, cells.sub(a, 1, 63))), "CAST(embedding[1] AS DOUBLE) - embedding[64]"),
 }
 

@@ -288,9 +288,13 @@ def _reverse_range(t: Tables):
     return sets.reverse_span(t.spark, 100)
 
 
-@query("reservoir_sample", "SELECT CAST(64 AS BIGINT) AS n, CAST(64 AS BIGINT) AS distinct_rows")
+@query("reservoir_sample", "SELECT CAST(64 AS BIGINT) AS n, CAST(64 AS BIGINT) AS distinct_rows, CAST(64 AS BIGINT) AS from_table, true AS spread")
 def _reservoir(t: Tables):
-    return sets.reservoir(t.orders, 64, 3, by="o_orderkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_rows"))
+    """That the rows are 64 different ones of the table, and come from all of it."""
+    some = sets.reservoir(t.orders.select("o_orderkey"), 64, 3, by="o_orderkey").join(t.orders.select("o_orderkey", F.lit(1).alias("own")), "o_orderkey", "left")
+    middle = t.orders.agg(F.avg("o_orderkey").alias("m"))
+    low = some.crossJoin(F.broadcast(middle)).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_rows"), F.count("own").alias("from_table"), F.avg((F.col("o_orderkey") < F.col("m")).cast("int")).between(0.2, 0.8).alias("spread"))  # one row
+    return low
 
 
 @query("reservoir_sample_grouped", "SELECT user_id, CAST(least(5, count(*)) AS BIGINT) AS n FROM events GROUP BY user_id")

@@ -127,9 +127,14 @@ def _argpartition_by(t: Tables):
     return argops.argpartition(t.events, F.col("value") > 50, "ts", ["user_id"]).groupBy("user_id").agg(F.count("*").alias("runs"))
 
 
-@query("argshuffle", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, CAST(count(*) - 1 AS BIGINT) AS last FROM orders")
+@query("argshuffle", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, true AS once, true AS moved FROM orders")
 def _argshuffle(t: Tables):
-    return argops.argshuffle(t.orders, "o_orderkey", 5).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"), F.max("pos").alias("last"))
+    """Every position once, and few indexes left where they were."""
+    done = argops.argshuffle(t.orders, "o_orderkey", 5)
+    least = done.groupBy("pos").agg(F.count("*").alias("n"))
+    stays = argops.argshuffle(t.orders, "o_orderkey", 5).join(prefix.row_numbers(t.orders.select("o_orderkey"), ["o_orderkey"]), "o_orderkey").agg(F.avg((F.col("pos") == F.col("idx")).cast("int")).alias("share"), F.count_distinct("o_orderkey").alias("all"))
+    both = least.crossJoin(F.broadcast(stays))  # one row
+    return both.select("pos", (F.col("n") == 1).alias("once"), ((F.col("share") < 0.05) & (F.col("all") == t.orders.count())).alias("moved"))
 
 
 @query("row_positions", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS idx FROM orders")

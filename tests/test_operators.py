@@ -128,3 +128,125 @@ def test_streaming_matches_batch(spark, tmp_path):
     q = run(stream).writeStream.format("memory").queryName("out").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("out").collect()) == sorted(run(rows).collect())
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    data = {0: [5.0], 1: rng.integers(0, 6, 40).astype(float).tolist(), 2: [NAN, None, 3.0, 1.0], 3: [None, NAN], None: rng.normal(size=25).tolist()}
+    d = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "g int, v double").repartition(5)
+    for kind in stats._KINDS:
+        small = d.groupBy("g").agg(stats.percentiles(F.col("v"), (0.001, 25, 50, 90, 100), kind).alias("p")).collect()
+        got = {r["g"]: r["percentiles"] for r in stats.quantiles(d, "v", (0.001, 25, 50, 90, 100), kind, ["g"]).collect()}
+        assert {r["g"] for r in small} == set(got)
+        for r in small:
+            assert got[r["g"]] == pytest.approx(r["p"], nan_ok=True), (kind, r["g"])
+    whole = [v for vs in data.values() for v in vs if v is not None and v == v]
+    assert stats.medians(d, "v").first()["median"] == sorted(whole)[len(whole) // 2]
+    assert stats.quantiles(d, "v", (50,), "r7").first()[0][0] == pytest.approx(np.median(whole))
+    assert stats.quantiles(d.limit(0), "v", (50,), keys=["g"]).count() == 0
+    plan = stats.quantiles(d, "v", (50,), keys=["g"])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    both = stats.describe(d, "v", ("n_elems", "median", "quartile_3", "max"), ["g"]).where("g = 1").first()
+    assert both["n_elems"] == 40 and both["median"] == sorted(data[1])[20] and both["max"] == max(data[1])
+
+
+def test_fold_by_parts(spark):
+    d = spark.createDataFrame([(k % 3, float(k)) for k in range(200)] + [(7, None)], "g int, v double")
+    got = {r["g"]: r["value"] for r in stats.fold_by(d, lambda a, b: F.greatest(a, b) + 0.0, "v", ["g"], chunk=5).collect()}
+    assert got == {0: 198.0, 1: 199.0, 2: 197.0}
+    assert stats.fold_by(d, lambda a, b: a + b, "v", chunk=7).first()[0] == sum(range(200))
+
+
+def test_positions_within_hot_and_null_keys(spark):
+    d = spark.createDataFrame([(None if k % 7 == 0 else "hot" if k % 2 else "b", k) for k in range(100)], "g string, i int")
+    rows = prefix.positions_within(d, ["g"], ["i"]).collect()
+    for g in (None, "hot", "b"):
+        own = sorted((r["i"], r["pos"]) for r in rows if r["g"] == g)
+        assert [p for _, p in own] == list(range(len(own)))
+    assert len(rows) == 100
+
+
+def test_blocks_with_halos(spark, vector):
+    v = [float((k * 37) % 23) for k in range(50)]
+    d = vector(v).select("idx", "v").repartition(3)
+    keyed = vector(v)
+    for f, back, ahead, name in [
+        (lambda x, k: rolling.fixed(x, "v", k, "idx", 7), 3, 3, "rolled"),
+        (lambda x, k: rolling.fixed(x, "v", k, "idx", 4, "min", "left", "zero"), 3, 0, "rolled"),
+        (lambda x, k: rolling.gradient1d(x, "v", k, "idx"), 1, 1, "gradient"),
+        (lambda x, k: rolling.shift(x, "v", k, "idx", -9), 0, 9, "shifted"),
+        (lambda x, k: rolling.diff1d(x, "v", k, "idx"), 1, 1, "diff"),
+    ]:
+        got = sorted((r["idx"], r[name]) for r in prefix.in_blocks(d, ["idx"], f, back, ahead, block=4).collect())
+        assert got == [(a, pytest.approx(b)) for a, b in sorted((r["idx"], r[name]) for r in f(keyed, ["g"]).collect())], name
+    assert rolling.gradient1d(d.limit(0), "v", [], "idx").count() == 0
+    nan = spark.createDataFrame([(0, 3.0), (1, NAN), (2, -2.0), (3, 0.0), (4, 5.0)], "idx bigint, v double")
+    assert [r["run"] for r in rolling.cumprod(nan.where("idx < 3"), "v", [], "idx").orderBy("idx").collect()] == pytest.approx([3.0, NAN, -6.0], nan_ok=True)
+    assert [r["run"] for r in rolling.cumprod(nan, "v", [], "idx").orderBy("idx").collect()][3:] == [0.0, 0.0]
+    assert [r["run"] for r in rolling.cummin(nan, "v", [], "idx").orderBy("idx").collect()] == [3.0, pytest.approx(NAN, nan_ok=True), -2.0, -2.0, -2.0]
+
+
+def test_correlate_long(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=40)
+    d = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "idx bigint, v double").repartition(4)
+    for m in (1, 4, 5):
+        kernel = rng.normal(size=m).tolist()
+        for mode in ("full", "same", "valid"):
+            for edge in ("zero", "clamp", "reflect", "wrap", "constant"):
+                for fft in (False, True):
+                    if fft and edge != "wrap":
+                        continue
+                    got = convolve.correlate_long(d, "v", "idx", kernel, mode, edge, 2.5, 2, fft, block=7).orderBy("idx").collect()
+                    want = convolve.correlate_array(v, kernel, mode, edge, 2.5, 2)
+                    assert [r["idx"] for r in got] == list(range(len(want))) and [r["filtered"] for r in got] == pytest.approx(want.tolist()), (m, mode, edge)
+    assert convolve.correlate_long(d.limit(0), "v", "idx", [1.0]).count() == 0
+
+
+def test_variable_windows(spark):
+    d = spark.createDataFrame([(0, float(k)) for k in range(20)], "g int, v double")
+    got = sorted((r["first"], r["past"]) for r in rolling.variable_steps(d, ["g"], "v", 5, 2, {"n": F.count("*")}).collect())
+    assert got == [(k, min(20, k + 5)) for k in range(0, 20, 2)]
+    every = sorted((r["first"], r["past"]) for r in rolling.variable_steps(d, [], "v", 5, 0, {"n": F.count("*")}).collect())
+    assert every == [(k, min(20, k + 5)) for k in range(20)]
+    near = rolling.variable(d, ["g"], F.col("v"), 2.5, {"n": "count(*)"}, "center").orderBy("v").collect()
+    assert [r["n"] for r in near] == [2] + [3] * 18 + [2]
+
+
+def test_search_with_ties(spark):
+    data = spark.createDataFrame([(float(k // 5),) for k in range(50)], "x double")
+    got = argops.search_many(data, "x", spark.createDataFrame([(3.0,), (3.0,), (2.5,), (99.0,), (-1.0,)], "t double"), "t").collect()
+    assert sorted(map(tuple, got)) == [(-1.0, 0), (2.5, 15), (3.0, 15), (3.0, 15), (99.0, 50)]
+
+
+def test_matmul_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(7, 5)), rng.normal(size=(5, 4))
+    for block in (2, 256):
+        got = tensor.to_nested(tensor.matmul(tensor.from_nested(spark, a.tolist()), tensor.from_nested(spark, b.tolist()), block))
+        assert np.allclose(got, a @ b)
+
+
+def test_blocks_of_a_short_vector(vector):
+    got = rolling.downsample_blocks(vector([1, 2, 3, 4, 5]), "v", ["g"], "idx", 2).orderBy("pos").collect()
+    assert [r["v"] for r in got] == [2.0, 4.5]  # 2.5 values a block: 0 to 2, then from 3 on
+    assert rolling.downsample(vector([1, 2]), "v", ["g"], "idx", 9).count() == 2
+
+
+def test_image_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    rows = [[(10, 20, 30), (40, 50, 60)], [(70, 80, 90), (1, 2, 3)], [(5, 5, 5), (250, 251, 252)]]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(v for p in r for v in p) for r in rows)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 3, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    pixels = {(r["i0"], r["i1"], r["i2"]): r["v"] for r in images.from_files(images.load(spark, str(tmp_path))).collect()}
+    assert pixels == {(y, x, c): rows[y][x][2 - c] for y in range(3) for x in range(2) for c in range(3)}
+
+
+def test_odd_images_and_opaque_reduction(spark):
+    t = tensor.compute(spark, (5, 7, 1), lambda i, j, k: i * 10 + j)
+    half = images.downsample(t)
+    assert half.shape == (2, 3, 1) and half.df.count() == 6 and half.df.where("i0 = 1 and i1 = 2").first()["v"] == (24 + 25 + 34 + 35) / 4
+    assert sets.map_reduce_opaque(spark, 1000, lambda i: int(i.max()), max, "bigint").first()[0] == 999
