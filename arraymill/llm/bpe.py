@@ -179,21 +179,53 @@ def _per_row(column: pa.Array) -> Iterator[np.ndarray]:
         yield values[offs[i] : offs[i + 1]] if good[i] else values[:0]
 
 
+def _digest(table: Spelling, decimal: Spelling, lists: Iterator[np.ndarray]) -> list[pa.Array]:
+    n, ids, text = [], [], []
+    for x in lists:
+        n.append(len(x))
+        ids.append(hashlib.sha256(decimal.of(x)[:-1].tobytes()).hexdigest())
+        text.append(hashlib.sha256(table.of(x).tobytes()).hexdigest())
+    return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
+
+
+@lru_cache(maxsize=2)
+def _decimal(size: int) -> Spelling:
+    return Spelling([b"%d " % i for i in range(size)])
+
+
+def _digest_form(id_col: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
 def digests(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (of the decimal ids, one space between) and decoded_sha256."""
+    """id_col, n_tokens, ids_sha256 (of the decimal ids, one space between) and decoded_sha256; a null list is an empty one."""
     path = vocabulary or default_vocabulary()[0]
-    kind = encoded.schema[id_col].dataType
+    form = _digest_form(id_col, encoded.schema[id_col].dataType)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _spelling(path)
-        decimal = Spelling([b"%d " % i for i in range(len(table.size))])
         for b in batches:
-            n, ids, text = [], [], []
-            for x in _per_row(b.column(1)):
-                n.append(len(x))
-                ids.append(hashlib.sha256(decimal.of(x)[:-1].tobytes()).hexdigest())
-                text.append(hashlib.sha256(table.of(x).tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    form = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_digest(table, _decimal(len(table.size)), _per_row(b.column(1)))], form.names)
+
     return bounded(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))).mapInArrow(digest, form)
+
+
+def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """digests(encode(docs)), where short texts are encoded, decoded and digested in one pass."""
+    path, pat = (vocabulary, pattern) if vocabulary and pattern else default_vocabulary()
+    form = _digest_form(id_col, docs.schema[id_col].dataType)
+    src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, table = _codec(path, pat), _spelling(path)
+        for b in batches:
+            data, offs = flat(b.column(1))
+            for i, j in runs(offs):
+                ids, upto = codec.texts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                lists = (ids[p:q] for p, q in zip(upto[:-1], upto[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *_digest(table, _decimal(len(table.size)), lists)], form.names)
+
+    near = src.where(size <= chunk).mapInArrow(short, form)
+    far = _long(src.where(size > chunk), docs.schema[id_col].dataType.simpleString(), path, pat, chunk, overlap)
+    return near.union(digests(far, "id", "ids", path).withColumnRenamed("id", id_col))

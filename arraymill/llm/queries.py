@@ -36,9 +36,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import digests, encode
+    from .bpe import encoded_digests
 
-    return digests(encode(_table(spark, sf_dir, "documents")))
+    return encoded_digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,7 +298,9 @@ def test_bpe(spark, docs, rows, none, enc, chunk, overlap):
     one = {r["doc_id"]: r for r in bpe.digests(coded).collect()}[303]
     ids = enc.encode_ordinary("word")
     assert one["n_tokens"] == len(ids) and one["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    assert bpe.encode(none).count() == 0
+    once = sorted(map(str, bpe.encoded_digests(d, chunk=chunk, overlap=overlap).collect()))
+    assert once == sorted(map(str, bpe.digests(coded).collect()))
+    assert bpe.encode(none).count() == 0 and bpe.encoded_digests(none).count() == 0
 
 
 def test_elias_fano():
