@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1 if (0x9E3779B97F4A7C15 % 4) == 3 else 0xD1342543DE82EF97
