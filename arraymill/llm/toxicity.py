@@ -97,11 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     src = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    sizes = src.select("id", F.octet_length("text").alias("size")).join(lab, "id")  # no texts
-    n, size = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    share = min(1.0, max_rows / max(n, 1), max_bytes / max(size, 1))
-    if share < 1:
-        lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    pick = lambda share: lab if share >= 1 else lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    share = min(1.0, max_rows / max(lab.count(), 1))
+    size = src.select("id", F.octet_length("text").alias("size")).join(pick(share), "id").agg(F.sum("size")).first()[0] or 0
+    lab = pick(share * min(1.0, max_bytes / max(size, 1)))
     src = src.join(lab, "id").select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
