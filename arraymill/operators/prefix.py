@@ -75,8 +75,9 @@ def scan_within(df: DataFrame, keys: list[str], order: list[str | Column], value
     before any of its rows, which is combined before it is shuffled.
     """
     held = scan(df.withColumn("__w", value), [*keys, *order], F.col("__w"), "__all")
-    starts = held.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(F.col("__all") - F.col("__w")).alias("__s"))
-    both = held.join(starts, same_keys(keys, [f"__k{i}" for i in range(len(keys))]))
+    own = [f"__of{i}" for i in range(len(keys))]
+    starts = held.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.min(F.col("__all") - F.col("__w")).alias("__s"))
+    both = held.join(starts, same_keys(keys, own))
     return both.withColumn(name, F.col("__all") - F.col("__s")).select(*df.columns, name)
 
 

@@ -11,6 +11,7 @@ quartiles() of a column gather a group's values and are for small groups.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -330,7 +331,7 @@ def _tau(x: list[float], y: list[float]) -> float:
 
 
 def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, kendall: tau-b of each group, a group in one task."""
+    """keys, kendall: tau-b of each group, a group in one task; kendall_scan() is for larger ones."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
@@ -341,6 +342,38 @@ def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Dat
     return df.groupBy(*(keys or [])).agg(tau(F.col(x).cast("double"), F.col(y).cast("double")).alias("kendall"))
 
 
+def kendall_scan(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, kendall: tau-b of groups of any size; rows with a null or NaN are left out.
+
+    Ties are counted by aggregates. Discordant pairs are inversions of the dense
+    ranks of y in the order of x and y; those of each bit of the ranks are
+    counted by one scan: within the rows that agree in all higher bits, each
+    row without the bit has the rows before it with the bit.
+    """
+    from arraymill.operators.prefix import positions_within, same_keys, scan_within
+    from arraymill.store import fixed
+
+    own = [f"__k{i}" for i in range(len(keys or []))] or ["__k0"]
+    named = [F.col(k).alias(c) for k, c in zip(keys, own, strict=True)] if keys else [F.lit(0).alias("__k0")]
+    rows = df.select(*named, values(F.col(x)).alias("__x"), values(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
+    ends = [f"{c}_" for c in own]
+    ranks = positions_within(rows.select(*own, "__y").distinct(), own, ["__y"], "__r")
+    ranks = ranks.select(*(F.col(c).alias(e) for c, e in zip(own, ends, strict=True)), F.col("__y").alias("__y_"), "__r")
+    placed = positions_within(rows, own, ["__x", "__y"], "__p")
+    held = fixed(placed.join(ranks, same_keys([*own, "__y"], [*ends, "__y_"])).select(*own, "__p", "__r"))
+    pairs = (F.col("count") * (F.col("count") - 1) / 2).cast("double")
+    parts = [rows.groupBy(*own, *by).count().select(*own, F.lit(name).alias("of"), pairs.alias("n")) for name, by in (("all", []), ("x", ["__x"]), ("y", ["__y"]), ("xy", ["__x", "__y"]))]
+    for b in range(int(held.agg(F.max("__r")).first()[0] or 0).bit_length()):
+        level = held.select(*own, "__p", F.shiftright("__r", b + 1).alias("__g"), F.shiftright("__r", b).bitwiseAND(1).cast("bigint").alias("__one"))
+        before = scan_within(level, [*own, "__g"], ["__p"], F.col("__one"), "__before").where("__one = 0")
+        parts.append(before.groupBy(*own).agg(F.sum("__before").cast("double").alias("n")).select(*own, F.lit("swaps").alias("of"), "n"))
+    table = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*own)
+    got = table.agg(*(F.coalesce(F.sum(F.when(F.col("of") == n, F.col("n"))), F.lit(0.0)).alias(n) for n in ("all", "x", "y", "xy", "swaps")))
+    over = (F.col("all") - F.col("x")) * (F.col("all") - F.col("y"))
+    tau = F.when(over > 0, (F.col("all") - F.col("x") - F.col("y") + F.col("xy") - 2 * F.col("swaps")) / F.sqrt(over)).otherwise(F.lit(NAN))
+    return got.select(*(F.col(c).alias(k) for c, k in zip(own, keys or [], strict=False)), tau.alias("kendall"))
+
+
 def linear_regression(x: Column, y: Column) -> list[Column]:
     """slope, intercept and mse (squared errors over n - 2) of y on x; NaN where undefined."""
     n = F.regr_count(y, x)

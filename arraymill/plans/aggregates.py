@@ -176,6 +176,11 @@ def _kendall(t: Tables):
     return d.select("c_nationkey", num(F.col("kendall")).alias("value"))
 
 
+@query("corr_kendall_whole", "SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(CASE WHEN a.x <> b.x THEN 1 ELSE 0 END) * sum(CASE WHEN a.y <> b.y THEN 1.0 ELSE 0 END)), 6) + 0.0 AS value FROM (SELECT c_custkey, c_acctbal AS x, c_nationkey AS y FROM customer) a JOIN (SELECT c_custkey, c_acctbal AS x, c_nationkey AS y FROM customer) b ON a.c_custkey < b.c_custkey")
+def _kendall_whole(t: Tables):
+    return stats.kendall_scan(t.customer, "c_acctbal", "c_nationkey").select(num(F.col("kendall")).alias("value"))
+
+
 @query("linear_regression", f"SELECT l_returnflag, {sql_num('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {sql_num('regr_intercept(l_extendedprice, l_quantity)', 2)} AS intercept, {sql_num('(regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) / 1e6', 4)} AS mse FROM {_LINE}")
 def _regression(t: Tables):
     r = t.lineitem.groupBy("l_returnflag").agg(*stats.linear_regression(F.col("l_quantity"), F.col("l_extendedprice")))
