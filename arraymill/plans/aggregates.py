@@ -110,13 +110,14 @@ def _quartiles(t: Tables):
 
 @query("stat_reduce_product", "SELECT c_nationkey, round(product(1 + c_acctbal / 100000), 6) + 0.0 AS value FROM customer GROUP BY c_nationkey")
 def _product(t: Tables):
-    return t.customer.groupBy("c_nationkey").agg(num(stats.product(1 + F.col("c_acctbal") / 100000)).alias("value"))
+    return t.customer.groupBy("c_nationkey").agg((F.round(stats.product(1 + F.col("c_acctbal") / 100000), 6) + 0.0).alias("value"))  # infinite where it overflows, as in SQL
 
 
 @query("stat_fold_opaque", "SELECT c_nationkey, round(product(1 + c_acctbal / 100000) - 1, 6) + 0.0 AS value FROM customer GROUP BY c_nationkey")
 def _opaque_fold(t: Tables):
     d = t.customer.select("c_nationkey", (F.col("c_acctbal") / 100000).alias("x"))
-    return stats.fold_by(d, lambda a, b: a + b + a * b, "x", ["c_nationkey"], chunk=64).withColumn("value", num(F.col("value")))
+    both = lambda a, b: (1 + a) * (1 + b) - 1  # noqa: E731  a + b + a * b would be inf - inf once a part overflows
+    return stats.fold_by(d, both, "x", ["c_nationkey"], chunk=64).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("percentiles_small_groups", f"SELECT user_id, {sql_num(_of('legacy', 0.5), 5)} AS p50, {sql_num('list_sort(list(x))[count(*) // 2 + 1]', 5)} AS middle FROM (SELECT user_id, value AS x FROM events) GROUP BY user_id")
