@@ -28,7 +28,9 @@ _AGGS = {"sum": F.sum, "min": F.min, "max": F.max}
 def scan(df: DataFrame, order: list[str | Column], value: Column, name: str, within: str = "sum") -> DataFrame:
     """df with a running sum, min or max of value in the order; nulls are passed over.
 
-    Whole numbers are scanned as bigint, all others as double.
+    Whole numbers are scanned as bigint, all others as double. Doubles are
+    summed in extended precision within a partition, and a partition's total is
+    the sum of its batches', so that errors do not grow with the count of rows.
     """
     whole = df.select(value.alias("v")).schema["v"].dataType.typeName() in ("byte", "short", "integer", "long")
     held = df.withColumn("__v", value.cast("bigint" if whole else "double"))
@@ -43,20 +45,23 @@ def scan(df: DataFrame, order: list[str | Column], value: Column, name: str, wit
                 column = b.column(at)
                 good = column.is_valid().to_numpy(zero_copy_only=False)
                 v = column.fill_null(blank[within]).to_numpy(zero_copy_only=False)
-                out = step(step.accumulate(v), last)
+                own = step.accumulate(v if whole else v.astype(np.longdouble))
+                out = step(own, last)
                 seen = np.logical_or.accumulate(good) | met
                 last, met = out[-1], bool(seen[-1])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=~seen)], [*b.schema.names, "__run"])
+                ends = np.arange(b.num_rows) == b.num_rows - 1
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x.astype(v.dtype), mask=~on) for x, on in ((out, seen), (own, ends & seen)))], [*b.schema.names, "__run", "__own"])
 
-    form = StructType([*parted.schema.fields, StructField("__run", LongType() if whole else DoubleType())])
+    kind = LongType() if whole else DoubleType()
+    form = StructType([*parted.schema.fields, StructField("__run", kind), StructField("__own", kind)])
     inner = fixed(parted.sortWithinPartitions(*order).mapInArrow(run, form))
-    totals = inner.groupBy("__part").agg(_AGGS[within]("__v").alias("__t"))  # a row per partition
+    totals = inner.groupBy("__part").agg(_AGGS[within]("__own").alias("__t"))  # a row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("__part", _AGGS[within]("__t").over(before).alias("__c"))
     both = inner.join(F.broadcast(carry), "__part")
     a, c = F.col("__run"), F.col("__c")
     joined = F.coalesce(a, F.lit(0)) + F.coalesce(c, F.lit(0)) if within == "sum" else (F.least if within == "min" else F.greatest)(a, c)
-    return both.withColumn(name, joined).drop("__part", "__v", "__run", "__t", "__c")
+    return both.withColumn(name, joined).drop("__part", "__v", "__run", "__own", "__t", "__c")
 
 
 def running_total(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
