@@ -454,8 +454,12 @@ def summation(f: Callable[[Column], Column], x: Column, nan: str = "remove") ->
     return F.coalesce(F.sum(f(values(x, nan))), F.lit(0.0))
 
 
+#: Rows of a task that staged() holds before it makes states of them, so that a group's cost is paid once for many batches.
+_STAGED = 1 << 19
+
+
 def staged(df: DataFrame, keys: list[str], x: str, step: Callable[[pd.Series], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.Series], state: str, result: str) -> DataFrame:
-    """A user's accumulator: step() makes a partial state of each batch of each group, merge() combines a group's states.
+    """A user's accumulator: step() makes partial states of each group of each run of batches, merge() combines a group's states.
 
     Only states are shuffled. state and result are DDL schemas.
     """
@@ -464,13 +468,25 @@ def staged(df: DataFrame, keys: list[str], x: str, step: Callable[[pd.Series], p
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
+    def states(run: list[pd.DataFrame]) -> pd.DataFrame:
+        names, made = zip(*((key, step(g)) for key, g in pd.concat(run, ignore_index=True).groupby(keys, dropna=False, sort=False)[x]), strict=True)
+        of = pd.DataFrame(list(names), columns=keys)
+        of = of.loc[of.index.repeat([len(m) for m in made])].reset_index(drop=True)
+        return pd.concat([of, pd.concat(made, ignore_index=True)], axis=1)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, size = [], 0
         for b in batches:
-            for key, g in b.groupby(keys, dropna=False):
-                yield pd.DataFrame([key], columns=keys).merge(step(g[x]), how="cross")
-
-    def final(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *merge(states.drop(columns=keys))]])
-
-    states = df.select(*keys, x).mapInPandas(partial, head + state)
-    return states.groupBy(*keys).applyInPandas(final, head + result)
+            if len(b):
+                run, size = [*run, b], size + len(b)
+            if size >= _STAGED:
+                yield states(run)
+                run, size = [], 0
+        if run:
+            yield states(run)
+
+    def final(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *merge(got.drop(columns=keys))]])
+
+    made = df.select(*keys, x).mapInPandas(partial, head + state)
+    return made.groupBy(*keys).applyInPandas(final, head + result)

@@ -282,3 +282,30 @@ def test_late_rows_and_windows_on_a_stream(spark, tmp_path):
     (tmp_path / "in-gaps").mkdir()
     gaps = run("gaps", lambda d: windows.session(d, "ts", "20 minutes", "1 hour", ["k"], n))
     assert gaps[0.0] == 2 and gaps[70.0] == 1
+
+
+def test_running_sum_keeps_its_precision(spark):
+    n = 400_000
+    d = spark.range(n, numPartitions=4).select("id", (1e-4 + F.pmod(F.col("id") * 7919, F.lit(1000)) / 1e8 + 1.0).alias("v"))
+    got = prefix.running_total(d, ["id"], "v", "run").select("id", "run").orderBy("id").toPandas()["run"].to_numpy()
+    want = np.cumsum((1e-4 + np.arange(n) * 7919 % 1000 / 1e8 + 1.0).astype(np.longdouble))
+    assert float(np.max(np.abs(got - want) / want)) < 1e-15
+
+
+def test_staged_reduction_of_many_batches(spark):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def step(s):
+        seen.add(1)
+        return pd.DataFrame({"n": [len(s), 0], "s": [s.sum(), 0.0]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        d = spark.range(5000, numPartitions=1).selectExpr("id % 10 AS a", "CAST(id % 2 AS string) AS b", "CAST(id AS double) AS v")
+        got = stats.staged(d, ["a", "b"], "v", step, lambda g: [int(g["n"].sum()), g["s"].sum()], "n long, s double", "n long, s double").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r[:] for r in got) == [(k, str(k % 2), 500, float(sum(range(k, 5000, 10)))) for k in range(10)]
+    assert seen.value == 10  # one state of a group for all batches of a task
