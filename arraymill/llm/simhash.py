@@ -32,7 +32,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().
 SEED, SHINGLE, RADIUS = 42, 3, 3
 
 
-def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def fingerprint(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text, from the hashes first[i]:first[i+1], the bits that over half of them have."""
     counts = np.diff(first)
     pieces = (counts + 254) // 255  # sums of up to 255 ones fit in a byte
@@ -76,7 +76,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -
     data, offs = flat(texts)
     out = np.zeros(len(offs) - 1, dtype=_U)
     for i, j in runs(offs):
-        out[i:j] = _majority(*shingle_hashes(LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], shingle, seed))
+        out[i:j] = fingerprint(*shingle_hashes(LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], shingle, seed))
     return out
 
 
@@ -243,7 +243,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once. Rows with a null id stay.
 
     A group is linked by a Jaccard similarity of at least share between sets of
-    shingles, found without loss (see overlap); texts without words are alike.
+    shingles: fingerprints that are near first, each verified on the sets, then
+    what they miss, without loss (see overlap). Texts without words are alike.
     """
     from .overlap import copies
 

@@ -658,3 +658,20 @@ def test_pipeline_run(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 100 < out.count() < 200 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_one_of_each_searches_fingerprints(spark, monkeypatch):
+    from arraymill.llm import overlap
+
+    text = " ".join(f"w{k}" for k in range(400))
+    d = spark.createDataFrame([(k, text.replace("w200 ", f"x{k} ")) for k in range(6)] + [(9, "other words stand in this text")], "doc_id long, text string")
+    found, links = [], overlap.links
+
+    def spy(distinct, *rest):
+        out = links(distinct, *rest)
+        found.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(overlap, "links", spy)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(d).collect()) == [0, 9]
+    assert found  # near copies met by fingerprint, before the exact search
