@@ -675,3 +675,45 @@ def test_one_of_each_searches_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(overlap, "links", spy)
     assert sorted(r["doc_id"] for r in simhash.one_of_each(d).collect()) == [0, 9]
     assert found  # near copies met by fingerprint, before the exact search
+
+
+def test_near_copies_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    """80 copies of a text that is not there, most of them at a similarity of some 0.7; pairs that can be no link never become rows."""
+    from arraymill.llm import overlap
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(80):
+        w = list(base)
+        for i in rng.sample(range(0, 200, 8), 2 if k % 20 == 0 else 4):
+            w[i] = f"x{k}y{i}"
+        texts.append(" ".join(w))
+    s = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(s[i] & s[j]) * 5 >= 4 * len(s[i] | s[j])
+    want = set(grouped(list(range(80)), near))
+    assert 40 < len(want) < 80
+    made, apart = [], overlap._apart
+
+    def spy(*rest):
+        out = apart(*rest)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlap, "_apart", spy)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(d).collect()} == want
+    assert made and sum(made) < 400  # of 3160
+
+
+def test_sketches_bound_the_difference():
+    from arraymill.llm import overlap
+
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 30, 300, 2000, 0, 310)]
+    got = overlap._sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).view(np.uint64)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert int(np.bitwise_count(got[i] ^ got[j]).sum()) <= len(np.setxor1d(x, y))
+    assert got[2].any() and not got[0].any()
