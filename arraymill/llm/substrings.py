@@ -12,6 +12,8 @@ batch can decide alone (an anchor that it holds twice, a window that one of its
 own smaller documents has) is decided there, and of each hash only the entries
 of the batch's smallest document travel to the bucket. So a passage in a third
 of all documents brings to its bucket no more than each batch's own entry.
+A batch makes a block a bucket at most, whatever the size of a group; buckets
+are two a shuffle partition, or one for 4 MB of input if these are more.
 
 Windows are told apart by two 64-bit hashes that share nothing: one from
 polynomials over the bytes of words, one from XXH64 of the words. Entries name
@@ -191,7 +193,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _repeats(rows: DataFrame, docs: DataFrame) -> DataFrame:
     spark, src = rows.sparkSession, rows.where("id is not null and text is not null")
     plan = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    buckets = min(1 << 20, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(plan)) >> 20))
+    buckets = min(1 << 20, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(plan)) >> 22))
     path = scratch(spark, "anchors")
     anchors = _written(_exchange(_emit(src, _anchors, buckets, False), False), path)
     near = anchors.groupBy("id", "t").agg(F.collect_set("at").alias("near"))  # bounded by the length of one text

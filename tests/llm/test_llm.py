@@ -717,3 +717,26 @@ def test_sketches_bound_the_difference():
         for j, y in enumerate(sets):
             assert int(np.bitwise_count(got[i] ^ got[j]).sum()) <= len(np.setxor1d(x, y))
     assert got[2].any() and not got[0].any()
+
+
+def test_substrings_blocks_are_few(spark, monkeypatch):
+    """Each batch makes at most two blocks a shuffle partition, however many entries share a window."""
+    rng = random.Random(31)
+    line = prose(rng, 30)
+    some = [(k, prose(rng, 300) + " " + line + " " + prose(rng, 300)) for k in range(64)]
+    made, emit = [], substrings._emit
+
+    def spy(*rest):
+        out = emit(*rest)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "_emit", spy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        d = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+        assert sorted(map(tuple, substrings.without_repeats(d).collect()), key=str) == without_repeats(some)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(made) == 2 and 0 < made[0] <= 4 * 2 * 16
