@@ -30,6 +30,7 @@ def merged(rows: DataFrame, size: int, kind: type, add: Callable, join: np.ufunc
         return pa.table({"k": t.column("k")[:1], "part": pa.array([whole.tobytes()])})
 
     out = np.zeros(size, kind)
-    for k, part in rows.mapInArrow(fill, "k long, part binary").groupBy("k").applyInArrow(meet, "k long, part binary").toLocalIterator():
-        out[k : k + _CHUNK] = np.frombuffer(part, kind)
+    got = rows.mapInArrow(fill, "k long, part binary").groupBy("k").applyInArrow(meet, "k long, part binary").toArrow()  # in one job; an iterator has one for each partition
+    for k, part in zip(got["k"].to_pylist(), got["part"], strict=True):
+        out[k : k + _CHUNK] = np.frombuffer(part.as_buffer(), kind)
     return out

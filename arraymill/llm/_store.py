@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes in a batch for Python, so that a task's memory does not depend on how long texts are. One longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a staged table, as stored, that dense() leaves to a task on average, at least.
+TASK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dense(df: DataFrame) -> DataFrame:
+    """stage(df), read in partitions of TASK_BYTES or more on average, as a task and a file for each few rows cost more than the rows."""
+    out = stage(df)
+    rdd = out._jdf.queryExecution().analyzed().rdd()
+    where, files = _files(df.sparkSession, rdd.getCheckpointFile().get())
+    return out.coalesce(max(1, min(rdd.getNumPartitions(), files.getContentSummary(where).getLength() // TASK_BYTES)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends if drop() does not do so before."""
     top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

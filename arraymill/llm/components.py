@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stage
+from ._store import dense
+
+
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """u, v: for each row one edge a pair of columns, loops left out. As a union would, but in as many partitions."""
+    ends = F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))
+    return rows.select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v")
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -14,16 +20,14 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _each(edges, ("u", "v"), ("v", "u"))
     near = both.join(_smallest(both), "u").where("v > u and v <> m")
-    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v"))  # a row an edge at most; repeats go with the small star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _smallest(down)
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return _each(down.join(_smallest(down), "u"), ("v", "m"), ("u", "m")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,16 +37,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node of the component, and the count of rounds grows with the
     logarithm of the longest path. No node's neighbours are ever gathered in
     one place; the minimum is pre-aggregated, and the join back to a node with
-    very many neighbours is one that Spark can split.
+    very many neighbours is one that Spark can split. Tables of a few MB are
+    read by one task.
 
     edges: columns u and v, either order, repeats and loops allowed; rows with
     a null end count as no edge. Returns node, component (its smallest node);
     every node other than the smallest of its component has a row.
     """
-    now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = dense(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        now = stage(_small_star(_large_star(now)))
+        now = dense(_small_star(_large_star(now)))
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(seen) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -173,8 +173,8 @@ def _plan(distinct: DataFrame, radius: int, parts: int) -> tuple[list[list[int]]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts.ravel()[k])], ["k", "c"])
 
     hist = np.zeros(len(subs) << 16)
-    for k, c in distinct.select("fp").mapInArrow(values, "k long, c long").groupBy("k").agg(F.sum("c")).toLocalIterator():
-        hist[k] = c
+    seen = distinct.select("fp").mapInArrow(values, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    hist[seen["k"].to_numpy()] = seen["c"].to_numpy()
     costs = []
     for i, g in enumerate(groups):
         share = np.array([1.0])

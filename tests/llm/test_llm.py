@@ -741,3 +741,32 @@ def test_substrings_blocks_are_few(spark, monkeypatch, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(made) == 2 and 0 < made[0] <= d.rdd.getNumPartitions() * 2 * 16
+
+
+def test_small_tables_take_few_tasks_and_jobs(spark, monkeypatch):
+    """A few edges are read by one task in all rounds, and a table of fixed size comes to the driver in one job, however many shuffle partitions there are."""
+    from arraymill.llm import _store
+    from arraymill.llm._bits import merged
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("40", "false"), strict=True):
+        spark.conf.set(k, v)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("fixed size"))
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "u long, v long").repartition(30)
+        got = components.components(edges)
+        assert got.rdd.getNumPartitions() == 1 and sorted(map(tuple, got.collect())) == [(k, 0) for k in range(1, 51)]
+        monkeypatch.setattr(_store, "TASK_BYTES", 1 << 14)
+        wide = _store.dense(spark.range(20000).repartition(40))  # a larger one by several
+        assert 1 < wide.rdd.getNumPartitions() < 40 and wide.count() == 20000
+        assert _store.dense(spark.createDataFrame([], "u long")).count() == 0
+        spark.sparkContext.setJobGroup("fixed size", "")
+        add = lambda own, b: np.add.at(own, b.column(0).to_numpy(), 1)
+        counts = merged(spark.range(1 << 14).selectExpr("id * 3 % 20000 as k"), 1 << 15, np.int64, add, np.add)
+        assert counts.tolist() == np.bincount(np.arange(1 << 14) * 3 % 20000, minlength=1 << 15).tolist()
+        assert 0 < jobs() <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
