@@ -23,6 +23,8 @@ from arraymill.store import fixed
 
 _STEPS = {"sum": np.add, "min": np.minimum, "max": np.maximum}
 _AGGS = {"sum": F.sum, "min": F.min, "max": F.max}
+#: Children of a node in a tree of sums.
+_FAN = 16
 
 
 def scan(df: DataFrame, order: list[str | Column], value: Column, name: str, within: str = "sum") -> DataFrame:
@@ -68,6 +70,66 @@ def running_total(df: DataFrame, order: list[str | Column], value: str, name: st
     return scan(df, order, F.col(value), name)
 
 
+def _before(v: np.ndarray, start: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per column of v the sum before each row that a block has room for, from start, and the block's own sum; both by its tree."""
+    nodes = [np.zeros((_FAN**levels, v.shape[1]))]
+    nodes[0][: len(v)] = v
+    for _ in range(levels):
+        nodes.append(np.add.accumulate(nodes[-1].reshape(-1, _FAN, v.shape[1]), axis=1)[:, -1])
+    out = start[None]
+    for level in reversed(nodes[:-1]):
+        own = level.reshape(-1, _FAN, v.shape[1])[:, :-1]
+        out = np.add.accumulate(np.concatenate([out[:, None], own], axis=1), axis=1).reshape(-1, v.shape[1])
+    return out, nodes[-1][0]
+
+
+def tree_sums(df: DataFrame, order: list[str | Column], values: dict[str, Column], levels: int = 4) -> DataFrame:
+    """df with the running sum of each of values (doubles) by its name, in a total order; nulls count as 0.
+
+    Rows are the leaves of a tree in which 16 nodes in order have one above
+    them. A running sum adds the nodes that end before or at its row, the
+    largest first. So it hangs on values and positions alone, not on the
+    partitions, its error grows with the logarithm of the count of rows, and it
+    is to the last bit what an engine gives whose windows are such trees
+    (DuckDB's are). Tasks work on subtrees of so many levels.
+    """
+    held = row_numbers(df, order, "__i").select("__i", *df.columns, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in values.items()))
+    return _along(held, list(values), levels).drop("__i")
+
+
+def _along(rows: DataFrame, names: list[str], levels: int) -> DataFrame:
+    """rows, numbered by __i, with running sums in place of the columns names; blocks of rows are subtrees, and the rows of the next round."""
+    size = _FAN**levels
+    held = rows.withColumn("__b", F.floor(F.col("__i") / size).cast("bigint"))
+    form = StructType([StructField(n, LongType() if n == "__i" else DoubleType()) for n in ("__i", *names)])
+
+    def laid(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(t["__i"].to_numpy())
+        return order, np.stack([t[n].to_numpy() for n in names], axis=1)[order]
+
+    def total(key: tuple, t: pa.Table) -> pa.Table:
+        own = _before(laid(t)[1], np.zeros(len(names)), levels)[1]
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([x]) for x in own)], form.names)
+
+    def run(key: tuple, t: pa.Table, ends: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.drop_columns("__b")
+        order, v = laid(t)
+        at = {i: np.array(x) for i, *x in zip(*(ends[n].to_pylist() for n in form.names), strict=True)}
+        b = key[0].as_py()
+        before, _ = _before(v, at.get(b - 1, np.zeros(len(names))), levels)
+        sums = np.concatenate([before[1:], at[b][None]])[: len(v)]
+        out = t.take(pa.array(order)).drop_columns("__b")
+        for k, n in enumerate(names):
+            out = out.set_column(out.column_names.index(n), n, pa.array(sums[:, k]))
+        return out
+
+    totals = fixed(held.select("__b", "__i", *names).groupBy("__b").applyInArrow(total, form))
+    ends = totals if totals.limit(2).count() < 2 else _along(totals, names, levels)
+    ends = ends.withColumn("__b", F.explode(F.array("__i", F.col("__i") + 1)))  # each block needs its own and that before it
+    return held.groupBy("__b").cogroup(ends.groupBy("__b")).applyInArrow(run, rows.schema)
+
+
 def same_keys(left: list[str], right: list[str]) -> Column:
     """Equality of keys in which null is a value."""
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)))

@@ -11,10 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from arraymill.operators.prefix import in_blocks, positions_within, row_numbers, scan, scan_within
+from arraymill.operators.prefix import in_blocks, positions_within, row_numbers, scan, scan_within, tree_sums
 from arraymill.store import fixed as stored
 
 NAN = float("nan")
@@ -172,15 +175,36 @@ def _cumulative(agg: Callable[[Column], Column]) -> Callable[..., DataFrame]:
 cumsum, cummin, cummax = _cumulative(F.sum), _cumulative(F.min), _cumulative(F.max)
 
 
+#: The largest number with a finite exponential.
+_LARGEST = 709.782712893384
+
+
+@pandas_udf(DoubleType())
+def _log(x: pd.Series) -> pd.Series:
+    return pd.Series([math.log(v) for v in x.tolist()], dtype=float)
+
+
+@pandas_udf(DoubleType())
+def _exp(x: pd.Series) -> pd.Series:
+    return pd.Series([math.inf if v > _LARGEST else math.exp(v) for v in x.tolist()], dtype=float)
+
+
 def cumprod(df: DataFrame, x: str, keys: list[str], order: str, name: str = "run") -> DataFrame:
-    """The running product, by signs, zeros and sums of logarithms; a NaN row gives NaN and is passed over."""
+    """The running product, by signs, zeros and sums of logarithms; a NaN row gives NaN and is passed over.
+
+    Without keys the sum is a long one, which the exponential would magnify the
+    errors of: it is added in a tree, of logarithms from the C library, whose
+    last bits Java's differ from.
+    """
     v = F.col(x).cast("double")
     ok = F.when(~F.isnan(v), v)
-    zero, below, log = (ok == 0).cast("bigint"), (ok < 0).cast("bigint"), F.when(ok != 0, F.ln(F.abs(ok)))
+    zero, below = (ok == 0).cast("bigint"), (ok < 0).cast("bigint")
     if not keys:
-        got = scan(scan(scan(df, [order], zero, "__z"), [order], below, "__m"), [order], F.coalesce(log, F.lit(0.0)), "__s")
-        value = F.when(F.col("__z") > 0, F.lit(0.0)).otherwise(F.when(F.col("__m") % 2 == 1, -F.exp("__s")).otherwise(F.exp("__s")))
-        return got.withColumn(name, F.when(F.isnan(v), F.lit(NAN)).otherwise(value)).select(*df.columns, name)
+        got = tree_sums(df, [order], {"__n": ok.isNotNull(), "__z": zero, "__m": below, "__s": _log(F.when(ok != 0, F.abs(ok)))})
+        got = got.withColumn("__s", _exp("__s"))
+        value = F.when(F.col("__z") > 0, F.lit(0.0)).otherwise(F.when(F.col("__m") % 2 == 1, -F.col("__s")).otherwise(F.col("__s")))
+        return got.withColumn(name, F.when(F.isnan(v), F.lit(NAN)).when(F.col("__n") > 0, value)).select(*df.columns, name)
+    log = F.when(ok != 0, F.ln(F.abs(ok)))
     w = window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     zeros, minus, size = F.sum(zero).over(w), F.sum(below).over(w), F.exp(F.sum(log).over(w))
     value = F.when(zeros > 0, F.lit(0.0)).otherwise(F.when(minus % 2 == 1, -size).otherwise(size))

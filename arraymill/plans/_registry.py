@@ -40,5 +40,15 @@ def num(x: Column, digits: int = 6) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), F.round(d, digits) + 0.0)
 
 
+def num_scaled(x: Column, digits: int = 6) -> Column:
+    """num() by a multiplication and a division, as in SQL, where both show in the last bit of a large value."""
+    d, scale = x.cast("double"), float(10**digits)
+    a = F.abs(d) * scale
+    low = F.floor(a).cast("double")
+    whole = F.when(a >= float(1 << 52), a).otherwise(F.when(a - low >= 0.5, low + 1).otherwise(low))
+    out = F.when(whole < float("inf"), F.signum(d) * (whole / scale)).otherwise(d)
+    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), out + 0.0)
+
+
 def sql_num(x: str, digits: int = 6) -> str:
     return f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN round(CAST({x} AS DOUBLE), {digits}) + 0.0 END"

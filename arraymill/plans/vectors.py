@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arraymill.operators import argops, convolve, prefix, rolling
 
-from ._registry import Tables, num, query, sql_num
+from ._registry import Tables, num, num_scaled, query, sql_num
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts)"
 _ALL = "OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
@@ -270,7 +270,8 @@ _WHOLE = {
 def _whole(name: str, f, column: str, sql: str) -> None:
     @query(name, f"SELECT o_orderkey, {sql_num('value', 4)} AS value FROM (SELECT o_orderkey, {sql} AS value FROM orders) WHERE value IS NOT NULL")
     def run(t: Tables):
-        return f(t.orders.select("o_orderkey", _P)).select("o_orderkey", num(F.col(column), 4).alias("value"))
+        rounded = num_scaled if name == "cumprod_whole" else num
+        return f(t.orders.select("o_orderkey", _P)).where(F.col(column).isNotNull()).select("o_orderkey", rounded(F.col(column), 4).alias("value"))
 
 
 for _n, (_f, _c, _sql) in _WHOLE.items():

@@ -292,6 +292,29 @@ def test_running_sum_keeps_its_precision(spark):
     assert float(np.max(np.abs(got - want) / want)) < 1e-15
 
 
+def test_tree_sums(spark):
+    """Through several rounds of blocks; by position alone, whatever the partitions."""
+    rng = np.random.default_rng(5)
+    v = rng.lognormal(size=5000) * rng.choice([1.0, 1e9, -1e-9], 5000)
+    nodes = [v]
+    while len(nodes[-1]) > 1:
+        nodes.append(np.array([np.add.accumulate(nodes[-1][i : i + 16])[-1] for i in range(0, len(nodes[-1]), 16)]))
+    want = []
+    for end in range(1, len(v) + 1):
+        total = 0.0
+        for k in reversed(range(len(nodes))):
+            for x in nodes[k][end // 16 ** (k + 1) * 16 : end // 16**k]:
+                total += x
+        want.append(total)
+    d = spark.createDataFrame([(i, None if i % 7 == 0 else float(x), float(x)) for i, x in enumerate(v)], "id long, u double, v double")
+    for parts in (1, 3):
+        got = prefix.tree_sums(d.repartition(parts), ["id"], {"run": F.col("v"), "n": F.col("u").isNotNull()}, levels=1).orderBy("id").toPandas()
+        assert list(got.columns) == ["id", "u", "v", "run", "n"] and got["run"].tolist() == want
+        assert got["n"].tolist() == np.cumsum(np.arange(5000) % 7 != 0).tolist()
+    assert prefix.tree_sums(d.where("id < 320"), ["id"], {"run": F.col("v")}, levels=2).orderBy("id").toPandas()["run"].tolist() == want[:320]
+    assert prefix.tree_sums(d.limit(0), ["id"], {"run": F.col("v")}).count() == 0
+
+
 def test_staged_reduction_of_many_batches(spark):
     import pandas as pd
 

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from arraymill.plans import catalog
 
@@ -67,3 +68,17 @@ def test_significand_of_zero(spark, tmp_path):
 def test_products_that_overflow(spark, tmp_path, name):
     got, want = against_sql(spark, tmp_path, name, "customer", [(k, k % 2, 0.0 if k % 2 and k > 9 else -5e4 if k % 10 < 4 else 1e5) for k in range(14000)], CUSTOMER)
     assert got == want and any(r[1] == "inf" for r in got)
+
+
+def test_running_product_to_the_last_bit(spark, tmp_path):
+    """Over more rows than a block, up to 1e150; the price of the first order is not known."""
+    n = 70_000
+    step = F.expm1(F.pmod(F.col("id") * 7919, F.lit(3001)) / 1e5 - 0.01)
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") > 0, 150000 + 1e9 * step).alias("o_totalprice"))
+    orders.coalesce(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["cumprod_whole"](spark, str(tmp_path)).orderBy("o_orderkey").toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["cumprod_whole"]).df().sort_values("o_orderkey")
+    assert got["o_orderkey"].tolist() == want["o_orderkey"].tolist() == list(range(1, n))
+    assert got["value"].max() > 1e100 and got["value"].tolist() == want["value"].tolist()
