@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import bounded, stage
@@ -240,19 +240,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once. Rows with a null id stay.
+    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id stays, once.
 
     A group is linked by a Jaccard similarity of at least share between sets of
     shingles: fingerprints that are near first, each verified on the sets, then
     what they miss, without loss (see overlap). Texts without words are alike.
+    Each row is judged by its own text, also where rows share an id or have
+    none; a row without an id stays only if none with one is in its group, and
+    rows with neither an id nor words all stay.
     """
     from .overlap import copies
 
     docs = bounded(docs)
     found = stage(copies(docs, id_col, text_col, shingle, share))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    out = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if found.groupBy(id_col).count().where("count > 1").limit(1).count():
-        known = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        out = known.unionByName(out.where(F.col(id_col).isNull()))
+
+    def of(rows: DataFrame) -> tuple[DataFrame, Column]:
+        return rows.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag"))
+
+    out = docs.join(*of(found.where("not first and not lone")), "left_anti")
+    twice = found.where("first and not lone").groupBy("id", "tag").count().where("count > 1")
+    if twice.limit(1).count():
+        twice = stage(twice)
+        once = out.join(*of(twice), "left_semi").withColumn("__tag", F.xxhash64(text_col)).dropDuplicates([id_col, "__tag"])
+        out = out.join(*of(twice), "left_anti").unionByName(once.drop("__tag"))
     return out

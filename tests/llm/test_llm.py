@@ -126,6 +126,25 @@ def test_one_of_each(docs, rows):
     assert len(kept) == len(set(kept)) and not {100 + k for k in range(10)} & set(kept) and set(range(40)) <= set(kept)
 
 
+def test_one_of_each_judges_rows_by_their_texts(spark):
+    """Rows that share an id or have none; no text is lost, and no copy stays for want of an id."""
+    rng = random.Random(21)
+    a, b, c, d, e, f, g = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7))
+    near = lambda t: t + " more"
+    rows = [(1, a), (5, near(a)), (5, b), (7, b), (None, near(a)), (None, c), (None, c), (8, d), (8, d), (8, near(d)), (9, e), (9, f), (None, near(f)), (None, g), (None, ""), (None, None), (None, None), (2, ""), (3, None)]
+    want = [(1, a), (2, ""), (5, b), (9, e), (9, f), (None, c), (None, g), (None, ""), (None, None), (None, None)]
+    df = spark.createDataFrame([(k, t, "clash", n) for n, (k, t) in enumerate(rows)], FORM).repartition(3)
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    of_8 = [t for k, t in got if k == 8]
+    assert len(of_8) == 1 and of_8[0] in (d, near(d))
+    assert [x for x in got if x[0] != 8] == sorted(want, key=str)
+    texts = df.where("doc_id is null or doc_id <> 8").selectExpr("concat('k', doc_id) as doc_id", "text")  # ids that are no numbers
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(texts).collect()), key=str)
+    assert got == sorted([(k and f"k{k}", t) for k, t in want], key=str)
+
+
 def test_one_of_each_by_overlap(spark):
     """All pairs with a Jaccard similarity of 0.8 or more of five words, and no others, against brute force."""
     rng = random.Random(12)
