@@ -83,7 +83,7 @@ def _before(v: np.ndarray, start: np.ndarray, levels: int) -> tuple[np.ndarray,
     return out, nodes[-1][0]
 
 
-def tree_sums(df: DataFrame, order: list[str | Column], values: dict[str, Column], levels: int = 4) -> DataFrame:
+def tree_sums(df: DataFrame, order: list[str | Column], values: dict[str, Column], levels: int = 3) -> DataFrame:
     """df with the running sum of each of values (doubles) by its name, in a total order; nulls count as 0.
 
     Rows are the leaves of a tree in which 16 nodes in order have one above
